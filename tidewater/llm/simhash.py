@@ -159,12 +159,12 @@ def plan(fps: DataFrame, radius: int) -> tuple[list[list[int]], list[int], list[
 
 
 def _probes(fps: DataFrame, groups, ts, counts) -> DataFrame:
-    """(k, cell, fp, node): each fingerprint at its own value of each partition with a threshold, and at the larger values near it."""
+    """(k, cell, fp): each fingerprint at its own value of each partition with a threshold, and at the larger values near it."""
     blocks = [np.maximum(1, -(-c // BLOCK)).astype(np.int64) if t >= 0 else None for c, t in zip(counts, ts, strict=True)]
 
     def run(batches):
         for b in batches:
-            fp, node = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for part, (bits, t) in enumerate(zip(groups, ts, strict=True)):
                 if t < 0:
                     continue
@@ -175,16 +175,16 @@ def _probes(fps: DataFrame, groups, ts, counts) -> DataFrame:
                         rows = np.arange(len(v)) if not r else np.flatnonzero((u > v) & (counts[part][u] > 0))
                         if not len(rows):
                             continue
-                        u, f, n = u[rows], fp[rows], node[rows]
+                        u, f = u[rows], fp[rows]
                         g = blocks[part][u]
                         own = ((f * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
                         at = np.repeat(np.arange(len(u)), g)
                         other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
                         low, high = np.minimum(own[at], other), np.maximum(own[at], other)
                         key = (part << 40) | u[at]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((low << 20) | high), pa.array(f[at].view(np.int64)), pa.array(n[at])], names=["k", "cell", "fp", "node"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((low << 20) | high), pa.array(f[at].view(np.int64))], names=["k", "cell", "fp"])
 
-    return fps.select("fp", "node").mapInArrow(run, "k long, cell long, fp long, node long")
+    return fps.select("fp").mapInArrow(run, "k long, cell long, fp long")
 
 
 def _verified(probes: DataFrame, radius: int) -> DataFrame:
@@ -217,15 +217,15 @@ def _verified(probes: DataFrame, radius: int) -> DataFrame:
     def run(batches):
         rest: list[np.ndarray] = []
 
-        def work(k, c, fp, node):
+        def work(k, c, fp):
             number = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
             i, j = pairs(number, fp)
-            a, b = spanning(node[i], node[j])
+            a, b = spanning(fp[i].view(np.int64), fp[j].view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            k, c, fp, node = (b.column(x).to_numpy(zero_copy_only=False) for x in range(4))
-            now = [k, c, fp.view(np.uint64), node]
+            k, c, fp = (b.column(x).to_numpy(zero_copy_only=False) for x in range(3))
+            now = [k, c, fp.view(np.uint64)]
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
@@ -247,17 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing in its component has an id. An empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, id_col, text_col, words), "fps")
-    # A fingerprint whose rows all lack an id gets a node above every real id.
-    one = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    one = stored(one.select("fp", F.coalesce("rep", F.lit(1 << 62) + F.shiftrightunsigned("fp", 2)).alias("node"), "rep"), "distinct")
+    one = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     if one.isEmpty():
         return fps.withColumn("component_id", F.lit(None).cast("long"))
     groups, ts, counts = plan(one, radius)
     links = stored(_verified(_probes(one, groups, ts, counts), radius), "links")
-    roots = stored(components(links), "roots")
-    known = one.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    known = known.select("fp", F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id")
+    rooted = stored(one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+    least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
