@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module of each query.
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_warc": "warc",
+    "op4_mix_sources": "mixing",
+    "op5_quality_rules": "quality_rules",
+    "op6_quality_classifier": "gam",
+    "op7_url_filter": "url_filter",
+    "op8_byte_level_bpe": "bpe",
+    "op9_lattice_lm": "lattice_lm",
+    "op10_exact_top_k": "topk",
 }
 
 
