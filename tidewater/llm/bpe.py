@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's piece cache, and of its memory of token pairs; either is emptied when full.
-PIECES, PAIRS = 1_500_000, 1_000_000
+PIECES, PAIRS = 300_000, 250_000
 
 
 class PrefixBPE:
