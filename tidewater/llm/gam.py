@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,6 +197,16 @@ def classify(docs: DataFrame, model: Gam, folds: int = 5, id_col: str = "doc_id"
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def quality(model: Gam):
+    """The score as a column function of a text column, for filters."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series(model.score(np.array([features((t or "").encode()) for t in s], float).reshape(-1, len(FEATURES))))
+
+    return F.pandas_udf(run, "double")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, train(docs, labels))

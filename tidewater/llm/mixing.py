@@ -10,6 +10,8 @@ and documents meet by source and block.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -205,6 +207,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return Mix(rows, spans, plans)
 
 
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mix as documents: for each pass over a document of which something is taken, a row with the text taken.
+
+    A document taken whole keeps its text as it is; of others each run of words keeps its own blanks, and runs are
+    joined by line feeds. A column n_chars, if there is one, is counted anew; all other columns stay. `docs` must give
+    the same rows in the same partitions each time it is read, as files do.
+    """
+    m = mix(docs, text_col=text_col, **options)
+    spans = m.spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "first", "n")).alias("spans"))  # a few rows per block of the document
+    names = docs.columns
+    numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(f"`{c}`") for c in names])
+    joined = numbered.join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans"), "__rid").select(*[F.col(f"`{c}`") for c in names], "__spans")
+    schema = joined.select(*[F.col(f"`{c}`") for c in names]).schema
+
+    def cut(text: str, spans: list[dict]) -> Iterator[str]:
+        data, words = text.encode(), None
+        for turn in sorted({s["pass"] for s in spans}):
+            runs: list[list[int]] = []
+            for first, n in sorted((s["first"], s["n"]) for s in spans if s["pass"] == turn):
+                if runs and runs[-1][1] == first:
+                    runs[-1][1] = first + n
+                else:
+                    runs.append([first, first + n])
+            words = words or [w.span() for w in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+            if runs == [[0, len(words)]]:
+                yield text
+            else:
+                yield b"\n".join(data[words[a][0] : words[b - 1][1]] for a, b in runs).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts = [], []
+            for i, (t, s) in enumerate(zip(b.column(names.index(text_col)).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
+                for x in cut(t, s):
+                    at.append(i)
+                    texts.append(x)
+            out = b.select(range(len(names))).take(pa.array(at, pa.int32()))
+            columns = list(out.columns)
+            columns[names.index(text_col)] = pa.array(texts, out.schema.field(names.index(text_col)).type)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array(list(map(len, texts)), out.schema.field(names.index("n_chars")).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, schema)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = m.spans.groupBy("rid").agg(F.sum("n").alias("taken"))

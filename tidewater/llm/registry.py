@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op2_warc": "warc",
+    "op3_toxicity": "toxicity",
     "op4_mix_sources": "mixing",
     "op5_quality_rules": "quality_rules",
     "op6_quality_classifier": "gam",

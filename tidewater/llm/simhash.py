@@ -257,6 +257,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+    """The documents without those that have a near duplicate on an earlier row; all columns stay.
+
+    `docs` must give the same rows in the same partitions each time it is read, as files do. What goes is joined
+    against, so that Spark broadcasts it if it is small and the texts are shuffled only if it is not.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *names)
+    found = near_duplicates(numbered, "__rid", text_col, words, radius)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rid")), "gone")
+    return numbered.join(gone, "__rid", "left_anti").select(*names)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
