@@ -9,7 +9,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +28,8 @@ NULL_DIR = "__HIVE_DEFAULT_PARTITION__"
 
 
 def arrow_uri(url: str) -> str:
-    """A Hadoop name as pyarrow takes it."""
-    return re.sub(r"^file:/+", "file:///", url)
+    """A Hadoop name as a URI for pyarrow, which decodes it."""
+    return quote(re.sub(r"^file:/+", "file:///", url), safe=":/@")
 
 
 def mode_of(s: Snapshot) -> str:
@@ -111,11 +111,11 @@ def stage(spark: SparkSession, store: Store, df: DataFrame, fields: T.StructType
     named = {f.name: physical_name(f, mode) for f in fields.fields}
     types = {f.name: physical(f.dataType, mode) for f in fields.fields}
     ids = {f.name: f for f in physical(fields, mode).fields}
-    columns = [F.col(f"`{f.name}`").cast(plain(types[f.name])).alias(named[f.name], metadata=ids_of.metadata) for f, ids_of in zip(fields.fields, [next(p for p in ids.values() if p.name == named[f.name]) for f in fields.fields], strict=True)]
+    # the cast carries nested names and field ids
+    columns = [F.col(f"`{f.name}`").cast(types[f.name]).alias(named[f.name], metadata=ids_of.metadata) for f, ids_of in zip(fields.fields, [next(p for p in ids.values() if p.name == named[f.name]) for f in fields.fields], strict=True)]
     out = df.select(*columns, *[F.col(f"`{c}`") for c in extra])
     folder = folder or f"w-{uuid.uuid4().hex}"
     by = [named[c] for c in partitions] + list(extra)
-    # a nested field's id lives in the schema, which only a cast to it carries
     writer = out.write.option("compression", "snappy")
     (writer.partitionBy(*by) if by else writer).parquet(store.url(folder))
     found = [e for e in store.walk(folder) if e.path.endswith(".parquet")]
@@ -187,7 +187,8 @@ def scan(spark: SparkSession, store: Store, s: Snapshot, adds: list[dict], place
     extra = extra or T.StructType()
     partitions = {c.lower() for c in s.partition_columns}
     data = T.StructType([f for f in schema.fields if f.name.lower() not in partitions])
-    wanted = T.StructType([*physical(data, mode).fields, *extra.fields])
+    stored = physical(data, mode)
+    wanted = T.StructType([*(stored if mode == "id" else plain(stored)).fields, *extra.fields])  # without ids, names decide
     if not adds:
         return spark.createDataFrame([], T.StructType([*[T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields], *extra.fields, *([T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())] if places else [])]))
     if mode == "id":

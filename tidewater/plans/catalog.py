@@ -38,3 +38,6 @@ def flagship_segment_revenue(spark, sf_dir):
     joined = items.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")).join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
     revenue = F.round(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")), 2)
     return joined.groupBy("c_mktsegment", "o_orderpriority").agg(revenue.alias("revenue"), F.count("*").alias("n_items")).orderBy("c_mktsegment", "o_orderpriority")
+
+
+from . import delta_tables, relational  # noqa: E402, F401  each registers its queries
