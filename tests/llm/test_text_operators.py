@@ -1,0 +1,311 @@
+"""Toxicity, quality rules, quality classifier, language model, mixing and URL rules on small fixtures."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from tidewater.llm import gam, lattice_lm, mixing, quality_rules, toxicity, url_filter
+
+# --- 3 --------------------------------------------------------------------------------------------------------------
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+def slow_look(terms, word):
+    found = []
+    for t in terms:
+        bare = t.rstrip("*")
+        d = min(distance(word[:n], bare) for n in range(len(word) + 1)) if t.endswith("*") else distance(word, bare)
+        if d <= toxicity.edits_of(t):
+            found.append((d, t))
+    return (min(found)[1], min(found)[0]) if found else None
+
+
+def test_automaton_against_edit_distance():
+    rng = random.Random(5)
+    terms = ["idiot", "moron", "worthless", "scum", "trash", "lowei*", "stupidity*", "idle", "absolutely"]
+    a = toxicity.Automaton(terms)
+    for t in terms * 120:
+        w = list(t.rstrip("*") + rng.choice(["", "", "en", "x"]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t", "i"])
+        word = "".join(w)
+        assert a.look(word) == slow_look(terms, word), word
+    assert toxicity.Automaton([]).look("x") is None and a.look("") is None
+
+
+def _toxic_docs(n=600):
+    rng = random.Random(1)
+    clean = [f"{a}{b}" for a in ("ta", "lo", "mi", "ru", "se") for b in ("ka", "ne", "pol", "dra", "vin", "sto")]
+    docs, labels = [], []
+    for i in range(n):
+        w = rng.choices(clean, k=rng.randint(5, 60))
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(2):
+                w[rng.randrange(len(w))] = rng.choice(["grumpot", "vilebag", "zorka" + rng.choice(["", "en", "ist", "um"])])
+        docs.append((i, " ".join(w), "en", "s", 1))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_toxicity(spark):
+    docs, labels = _toxic_docs()
+    docs += [(9001, "taka loka GRUMPOTT mine", "en", "s", 1), (9002, None, None, None, None), (9003, "", "x", "y", 0), (None, "sera vilebag", "", "", 0), (9001, "taka", "en", "s", 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string, predicted string, n_chars long")
+    m = toxicity.train(d, spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int"))
+    assert "vilebag" in m.terms and "grumpot" in m.terms and any("zorka".startswith(t.rstrip("*")) for t in m.terms)
+    out = toxicity.classify(d, m).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        if r.doc_id is not None and r.doc_id < 9000:
+            assert r.predicted == int(r.doc_id % 6 == 0) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    assert {(r.doc_id, r.predicted) for r in out if r.doc_id in (9002, 9003)} == {(9002, 0), (9003, 0)}
+    assert [h.edits for r in out if r.doc_id == 9001 for h in r.hits] == [1]
+    kept = d.where(toxicity.abuse(m)("text") < 0.3).count()
+    assert kept == sum(r.predicted == 0 for r in out)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    d = spark.createDataFrame([], "doc_id long, text string")
+    m = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert m.terms == [] and toxicity.classify(d, m).count() == 0
+
+
+def test_quotation_is_told_apart():
+    f = toxicity.Finder(["grumpot"])
+    assert [h.quoted for h in f.hits("they called him \"a grumpot\" once, but you grumpot go now")] == [True, False]
+
+
+# --- 5 --------------------------------------------------------------------------------------------------------------
+
+
+def slow_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n\t", "one two", "a b c d e f a b c d e", "x " * 500, "l\nl\n\nl \nl", "é日 <b> | # 🙂\x85\xa0z", "\x0b\x0c\r a"]
+    texts += [" ".join(rng.choices("abcdefg", k=rng.randint(0, 200))) for _ in range(40)]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["s", None])) for i, t in enumerate(texts)] + [(1, "", "en", "s"), (None, "a b", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_words", quality_rules.F.lit("clash"))
+    got = sorted((tuple(r)[:6] for r in quality_rules.judge(df).collect()), key=str)
+    assert got == sorted(((i, *slow_counts(t)) for i, t, _, _ in rows), key=str)
+    for r in quality_rules.judge(df).collect():
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
+    assert quality_rules.judge(df.limit(0)).count() == 0
+
+
+def test_repeats_survive_hash_clashes(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_LOW", (1 << 60) - 1)  # leaves four bits of hash: clashes all over
+    monkeypatch.setattr(quality_rules, "_repeats", quality_rules._repeats)
+    texts = [" ".join(map(str, range(200))), " ".join(map(str, [*range(60), *range(50)]))]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.judge(df).collect()} == {i: slow_counts(t)[4] for i, t in enumerate(texts)}
+
+
+# --- 6 --------------------------------------------------------------------------------------------------------------
+
+
+def test_gam_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    m = gam.fit(x[:2000], y[:2000])
+    assert (0, 1) in {(a, b) for a, b, *_ in m.pairs}
+    assert ((m.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+    raw = np.full(1000, m.intercept)
+    for i, row in enumerate(x[2000:]):
+        raw[i] += sum(t[np.searchsorted(e, row[f], side="right")] for f, (e, t) in enumerate(zip(m.edges, m.tables, strict=True)))
+        raw[i] += sum(t[np.searchsorted(ea, row[a], side="right"), np.searchsorted(eb, row[b], side="right")] for a, b, ea, eb, t in m.pairs)
+    assert np.allclose(raw, m.raw(x[2000:]))
+
+
+def test_quality_classifier(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    more = spark.createDataFrame([(None, None), (7, ""), (7, "!! " * 3000)], "doc_id long, text string")
+    out = gam.classify(docs.select("doc_id", "text").union(more), gam.train(docs, labels)).collect()
+    assert len(out) == docs.count() + 3 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
+    empty = docs.limit(0)
+    assert gam.classify(empty, gam.train(empty, labels.limit(0))).count() == 0
+    assert gam.fit(np.zeros((0, 14)), np.zeros(0)).score(np.zeros((1, 14)))[0] == 0.5
+
+
+# --- 9 --------------------------------------------------------------------------------------------------------------
+
+
+def toy():
+    pieces = {"▁": 0, "▁a": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5, "ba": 6}
+    n = 7 + 256 + 1
+    prior = np.full(n, 1e-4)
+    prior[:7] = [0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.1]
+    return lattice_lm.Vocabulary(pieces, list(range(7, 263)), 263, prior / prior.sum())
+
+
+def slow_word(v, prob, word):
+    """Sum over every way to cut the word into pieces or bytes spelling a character."""
+    text = "▁" + word
+    unit = {c: math.prod(prob[v.byte_of[b]] for b in c.encode()) for c in set(text)}
+
+    def ways(s):
+        if not s:
+            return 1.0
+        return unit[s[0]] * ways(s[1:]) + sum(prob[p] * ways(s[len(t) :]) for t, p in v.pieces.items() if s.startswith(t))
+
+    return math.log10(ways(text))
+
+
+def test_lattice_against_enumeration():
+    v = toy()
+    lattice = lattice_lm.Lattice(v, v.prior)
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abü", repeat=n)]
+    assert np.allclose(lattice.scores([w.encode() for w in words]), [slow_word(v, v.prior, w) for w in words])
+    assert np.isfinite(lattice.scores([b"ab" * 5000])).all()
+
+
+def test_expected_counts_are_the_gradient():
+    v, words, weights = toy(), [b"abab", b"aa", "bü".encode()], np.array([2.0, 1.0, 3.0])
+    got = lattice_lm.Lattice(v, v.prior).expected(words, weights)
+    for p in (1, 2, 4, v.byte_of["ü".encode()[0]]):
+        up, down = v.prior.copy(), v.prior.copy()
+        up[p] *= 1 + 1e-5
+        down[p] *= 1 - 1e-5
+        s = [weights @ (lattice_lm.Lattice(v, x).scores(words) * math.log(10)) for x in (up, down)]
+        assert got[p] == pytest.approx((s[0] - s[1]) / 2e-5, rel=1e-4, abs=1e-9)
+
+
+def test_language_model(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "FREQUENT", 3)  # most words go through the join
+    rows = [(i, " ".join(random.Random(i).choices(["The", "cat", "sat", "ON", "mat", "é"], k=i % 7))) for i in range(40)] + [(5, None), (5, "zebra the"), (None, "cat")]
+    path = P.path("piece_bpe_32k.model")
+    got = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    train = [(t or "").encode().lower().split() for i, t in rows if not held(i)]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    p = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
+    want = sorted(((i, held(i), len(w) + 1, 1 + sum(c[x] > 0 for x in w), n, round(p(len(train)) + sum(p(c[x]) for x in w), 6)) for i, t in rows for w in [(t or "").encode().lower().split()]), key=str)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert lattice_lm.score(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+# --- 4 --------------------------------------------------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert mixing.targets([0, 10], [3, 1]) == [0, 15]
+    assert mixing.targets([], []) == []
+    rng = random.Random(4)
+    for _ in range(50):
+        s = [rng.randint(0, 100) for _ in range(rng.randint(1, 9))]
+        t = mixing.targets(s, [(3, 1, 2)[i % 3] for i in range(len(s))])
+        assert sum(t) == pytest.approx(1.5 * sum(s)) and all(x <= 2 * y + 1e-9 for x, y in zip(t, s, strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_permutation(n):
+    p = mixing.Permutation(n, (1, 2))
+    image = p(np.arange(n))
+    assert sorted(image.tolist()) == list(range(n)) and all(p.rank_of(int(v)) == i for i, v in enumerate(image[:20]))
+
+
+def test_shard_counts_meet_their_totals():
+    totals = [500, 30, 0, 494]
+    drawn = [mixing.shard_counts(totals, 8, 128, i, 9) for i in range(8)]
+    assert sum(c for c, _ in drawn).tolist() == totals and all(c.sum() == 128 for c, _ in drawn)
+    assert all((drawn[i][1] + drawn[i][0] == drawn[i + 1][1]).all() for i in range(7))
+
+
+@pytest.mark.parametrize("block", [1, 7, 50])
+def test_mix(spark, block):
+    rng = random.Random(block)
+    rows = [(i, " ".join(f"w{k}" for k in range(rng.choice([0, 1, 3, 40, 200]))), rng.choice(["b", "a", "é", None])) for i in range(120)] + [(3, None, "a"), (3, None, "a"), (None, "x y\nz", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", mixing.F.length("text")).repartition(3, "doc_id")
+    m = mixing.mix(docs, block=block)
+    taken = {r.rid: r.n for r in m.spans.groupBy("rid").agg(mixing.F.sum("n").alias("n")).collect()}
+    got = m.rows.collect()
+    assert len(got) == len(rows)
+    for i, p in enumerate(m.plans):
+        own = [r for r in got if r.s == i]
+        assert sum(r["size"] for r in own) == p.size
+        assert abs(sum(taken.get(r.rid, 0) for r in own) - p.target) <= 0.5
+    assert all(taken.get(r.rid, 0) <= 2 * r["size"] for r in got)
+    assert [p.name for p in m.plans] == ["a", "b", "é", None]
+    again = {(r.doc_id, r["size"], n) for r, n in ((r, taken.get(r.rid, 0)) for r in got)}
+    m2 = mixing.mix(docs.repartition(5), block=block)
+    taken2 = {r.rid: r.n for r in m2.spans.groupBy("rid").agg(mixing.F.sum("n").alias("n")).collect()}
+    assert again == {(r.doc_id, r["size"], taken2.get(r.rid, 0)) for r in m2.rows.collect()}
+
+
+def test_mixed_documents(spark, tmp_path):
+    rows = [(i, "\n".join(f"w{i}-{k}" for k in range(i % 30)), ["a", "b"][i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", mixing.F.length("text")).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = mixing.mixed_documents(docs, block=8)
+    assert out.columns == docs.columns
+    m = mixing.mix(docs, block=8)
+    assert sum(len(r.text.split()) for r in out.collect()) == m.spans.agg({"n": "sum"}).first()[0]
+    assert all(set(r.text.split()) <= set(dict((i, t) for i, t, _ in rows)[r.doc_id].split()) and r.n_chars == len(r.text) for r in out.collect())
+
+
+# --- 7 --------------------------------------------------------------------------------------------------------------
+
+
+def slow_judge(url, rules):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (len(r.key), len(r.host)), default=None)
+    return host, path, best.key if best else None, best.verdict if best else "allow"
+
+
+RULES = (*url_filter.RULES, url_filter.Rule("a.b.example.org", "/x", "block"), url_filter.Rule("com", "/", "block"), url_filter.Rule("ok.com", "/", "allow"))
+
+
+@pytest.mark.parametrize("rules", [url_filter.RULES, RULES, ()])
+def test_url_rules(spark, rules):
+    rng = random.Random(6)
+    urls = [None, "", "no scheme", "://", "http://", "x://net", "x://net/", "HTTP://WWW.Example.NET/en/a?q#f", "http://example.net/en", "http://notexample.net/en/", "a://b.org/fr/://x", "http://org/fr/", "http://example.com/de/?/en/", "http://u@example.com:80/de/", "x\n://net/a", "x://net/é\n/"]
+    for _ in range(200):
+        host = ".".join(rng.choices(["a", "b", "www", "example", "ok", "net"], k=rng.randint(0, 3)) + [rng.choice(["net", "com", "org", "example.net"])])
+        urls.append(f"http://{host}{rng.choice(['', '/', '/en/', '/de/', '/fr/', '/x', '/xy/z'])}{rng.choice(['', '?a', '#b', 'q'])}")
+    rows = [(i, u) for i, u in enumerate(urls)] + [(None, "http://a.net/"), (3, "http://a.net/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", url_filter.F.lit(1))
+    got = sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str)
+    assert got == sorted(((i, *slow_judge(u, rules)) for i, u in rows), key=str)
+    assert url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    listed = spark.range(0, 300).selectExpr("concat('k', id) AS key")
+    universe = spark.range(0, 20_000).selectExpr("concat('k', id) AS key")
+    c = url_filter.Cascade(listed, universe)
+    assert len(c.levels) >= 2
+    wrong = universe.where(c.has(url_filter.F.col("key")) != (url_filter.F.substring("key", url_filter.F.lit(2), url_filter.F.lit(9)).cast("long") < 300))
+    assert wrong.count() == 0

@@ -1,7 +1,8 @@
 """Toxicity by misspelling-tolerant lexicon look-up and context windows.
 
-The lexicon (whole words and stems) is learned from labelled documents by greedy cover: the term found in most toxic
-documents not yet explained comes next, so that rare words of copied documents are not taken for slurs. A Levenshtein
+The lexicon (whole words and stems) is learned from labelled documents: first the terms that toxic documents have in too
+many different surroundings, and clean ones hardly ever, for chance; then, for documents that these leave unexplained,
+the term found in most of them, again and again. Surroundings keep a copied document's rare words from counting as slurs. A Levenshtein
 automaton of each term's tolerance, intersected with the lexicon's trie, is determinised as words come by: a word then
 costs a table step per letter and most words die within a few. Hits close together are one context window; a hit in
 quotation marks has a weight of its own, learned like that of misspelt ones. Windows combine by noisy-or.
@@ -9,6 +10,8 @@ quotation marks has a weight of its own, learned like that of misspelt ones. Win
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +28,8 @@ from .gam import labelled_sample
 SAMPLE, CANDIDATES, TERMS = 12_000, 20_000, 500
 #: A term is at least so many times as frequent among toxic documents, and explains at least this share of them.
 RATIO, COVER = 30.0, 0.002
+#: Clean documents per toxic surrounding that a term may have; what counts as nearly as many; odds of a chance find.
+IMPURE, NEARLY, CHANCE = 0.02, 0.9, 1e-7
 STEMS = range(4, 9)
 #: Words between hits of one window; words before and after a hit that may open and close its quotation.
 WINDOW, QUOTE = 8, 4
@@ -180,36 +185,64 @@ class Model:
         return 1 - clean * (1 - best)
 
 
-def _terms_of(text: str) -> set[str]:
-    words = set(map(normal, text.split()))
-    return {w for w in words if len(w) >= 3} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+def _terms_of(text: str) -> dict[str, int]:
+    """Terms of a text, whole words and stems, each with a hash of the words around its first place."""
+    words, out = list(map(normal, text.split())), {}
+    for i, w in enumerate(words):
+        if w and w not in out:
+            around = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
+            for t in ([w] if len(w) >= 3 else []) + [w[:n] + "*" for n in STEMS if len(w) > n]:
+                out.setdefault(t, around)
+    return out
 
 
-def _frequent(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(term, toxic, df): documents with each term, of all terms or of those wanted."""
+def _supported(sample: DataFrame) -> DataFrame:
+    """(term, n): in how many different surroundings documents have each term, so that copies of one passage count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = list({p for text in b.column(0).to_pylist() for p in _terms_of(text or "").items()})
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["term", "around"])
+
+    return sample.select("text").mapInArrow(run, "term string, around long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _documents_with(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """(term, n): documents with each of the wanted terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                terms = _terms_of(text or "")
-                count.update((t, label) for t in (terms if wanted is None else terms & wanted))
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())], names=["term", "toxic", "df"])
+            for text in b.column(0).to_pylist():
+                count.update(wanted.intersection(_terms_of(text or "")))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+
+    return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    return sample.select("label", "text").mapInArrow(run, "term string, toxic int, df long").groupBy("term", "toxic").agg(F.sum("df").alias("df"))
+def _leanest(support: dict[str, int]) -> list[str]:
+    """Without stems that a longer term stands for nearly as often, and without terms that begin with a stem that is left."""
+    longer: dict[str, int] = {}
+    for t, n in support.items():
+        whole = t.rstrip("*")
+        for k in STEMS:
+            if k < len(whole) or k == len(whole) and not t.endswith("*"):
+                longer[whole[:k] + "*"] = max(longer.get(whole[:k] + "*", 0), n)
+    left = {t for t, n in support.items() if not (t.endswith("*") and longer.get(t, 0) >= NEARLY * n)}
+    return sorted(t for t in left if not any(t.rstrip("*")[:k] + "*" in left - {t} for k in STEMS if k <= len(t.rstrip("*"))))
 
 
 def _cover(documents: list[set[str]], least: int) -> list[str]:
-    """Greedy: the term of most unexplained documents; of equals a whole word, then the longest stem."""
+    """Greedy: the term of most unexplained documents; of those nearly as good a whole word, then the longest stem."""
     left, out = documents, []
     while left and len(out) < TERMS:
         count = Counter(t for d in left for t in d)
         if not count:
             break
-        best = max(count, key=lambda t: (count[t], not t.endswith("*"), len(t), t))
-        if count[best] < least:
+        most = max(count.values())
+        if most < least:
             break
+        best = max((t for t in count if count[t] >= NEARLY * most), key=lambda t: (not t.endswith("*"), len(t), t))
         out.append(best)
         left = [d for d in left if best not in d]
     return out
@@ -223,17 +256,20 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, siz
     model = Model()
     if toxic:
         least = max(2, round(COVER * toxic))
-        top = _frequent(sample.where("label = 1"), None).where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(CANDIDATES).collect()
-        in_toxic = {r["term"]: r["df"] for r in top}
-        in_clean = {r["term"]: r["df"] for r in _frequent(sample.where("label = 0"), frozenset(in_toxic)).collect()}
-        telling = frozenset(t for t, x in in_toxic.items() if x / toxic >= RATIO * (in_clean.get(t, 0) + 0.5) / (clean + 1))
+        support = {r["term"]: r["n"] for r in _supported(sample.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+        in_clean = {r["term"]: r["n"] for r in _documents_with(sample.where("label = 0"), frozenset(support)).collect()}
+        telling = {t: n for t, n in support.items() if in_clean.get(t, 0) <= IMPURE * n and n / toxic >= RATIO * (in_clean.get(t, 0) + 0.5) / (clean + 1)}
+        # so many surroundings that no term of the sample would have them in toxic documents alone by chance
+        sure = math.log(CHANCE) / math.log(min(0.5, (toxic + 1) / (toxic + clean + 2)))
+        model.terms = _leanest({t: n for t, n in telling.items() if n >= sure})[:TERMS]
+        wanted, sure_terms = frozenset(telling), frozenset(model.terms)
 
         def run(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([sorted(_terms_of(t or "") & telling) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(wanted.intersection(_terms_of(t or ""))) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
 
-        found = sample.where("label = 1").select("text").mapInArrow(run, "terms array<string>").collect()
-        model.terms = _cover([set(r["terms"]) for r in found], least)
+        found = [set(r["terms"]) for r in sample.where("label = 1").select("text").mapInArrow(run, "terms array<string>").collect()]
+        model.terms += _cover([d for d in found if not d & sure_terms], least)
     terms = model.terms
 
     def kinds(batches):
