@@ -32,7 +32,7 @@ class PrefixBPE:
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, content: bytes) -> PrefixBPE:
@@ -49,13 +49,13 @@ class PrefixBPE:
         return [self.ranks[p] for p in parts]
 
     def stay_apart(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
+        known = self.apart.get(pair := left << 32 | right)
         if known is None:
             both = self.token[left] + self.token[right]
             known = both not in self.ranks and self.merged(both) == [left, right]
             if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            self.apart[left, right] = known
+            self.apart[pair] = known
         return known
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
@@ -164,13 +164,8 @@ def _of_worker(key: str, make):
     return held[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids are packed as little-endian unsigned 32-bit integers.
-
-    Null texts count as empty, and the empty text has no ids; long texts go through in slices of pieces. Repeated rows
-    and ids stay; other columns are ignored. The vocabulary file is of fixed size and travels as a broadcast.
-    """
-    content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
+def _encoder(path: str, pattern: str, content):
+    """Batches (doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = _of_worker(f"bpe {path}", lambda: _Packed(PrefixBPE.from_file(content.value)))
@@ -186,12 +181,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     out.append(b"".join(b"".join(get(m.group()) for m in some) for some in itertools.batched(cut.finditer(t), 1 << 16)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, bytes): the bytes that the ids stand for."""
-    content = encoded.sparkSession.sparkContext.broadcast(open(path, "rb").read())
+def _decoder(path: str, content):
+    """Batches (doc_id, ids) to (doc_id, ids, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _of_worker(f"tokens {path}", lambda: PrefixBPE.from_file(content.value).token).__getitem__
@@ -199,11 +193,42 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return run
+
+
+def _content(spark: SparkSession, path: str):
+    """The vocabulary file, of fixed size, as a broadcast."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): ids are packed as little-endian unsigned 32-bit integers.
+
+    Null texts count as empty, and the empty text has no ids; long texts go through in slices of pieces. Repeated rows
+    and ids stay; other columns are ignored; an empty table gives an empty result.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(_encoder(path, pattern, _content(docs.sparkSession, path)), "doc_id long, ids binary")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, bytes): the bytes that the ids stand for; null ids are none."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path, _content(encoded.sparkSession, path)), "doc_id long, ids binary, bytes binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python worker, without a way through the JVM in between."""
+    content = _content(docs.sparkSession, path)
+    forth, back = _encoder(path, pattern, content), _decoder(path, content)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: back(forth(batches)), "doc_id long, ids binary, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    both = decode(encode(docs, path, pattern), path)
+    both = round_trip(docs, path, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
