@@ -70,10 +70,10 @@ def test_allocation_finds_every_pair_within_the_radius(parts):
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     groups = simhash.group_bits(len(fp), bits.T @ bits, parts)
     assert sorted(b for g in groups for b in g) == list(range(64))
-    counts = [np.bincount(simhash.values(np.r_[fp, near], g), minlength=1 << len(g)) for g in groups]
+    counts = [np.bincount(simhash.values(np.r_[fp, near][:, None], g), minlength=1 << len(g)) for g in groups]
     _, ts = simhash.allocate(counts, 4)
     assert sum(t + 1 for t in ts) == 5
-    apart = np.stack([np.bitwise_count(simhash.values(fp[:1500], g) ^ simhash.values(near, g)) for g in groups])
+    apart = np.stack([np.bitwise_count(simhash.values(fp[:1500, None], g) ^ simhash.values(near[:, None], g)) for g in groups])
     assert (apart <= np.array(ts)[:, None]).any(axis=0).all()
 
 
@@ -81,3 +81,26 @@ def test_large_bucket_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rows = [(i, f"one two three four five six seven eight nine ten {'x' * (i % 40)}") for i in range(80)]
     assert result(spark, rows) == slow_components(rows)
+
+
+def test_wide_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        base = [f"t{x}" for x in rng.integers(0, 5000, 120)]
+        for k in range(4):
+            near = list(base)
+            for _ in range(2 * k):
+                near[rng.integers(len(near))] = f"e{rng.integers(999)}"
+            rows.append((4 * i + k, " ".join(near)))
+    fps = [simhash.fingerprint(t.encode(), 5, 2) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= 25:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {r: min(d for (d, _), q in zip(rows, root, strict=True) if q == r) for r in root}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, radius=25, halves=2).collect()}
+    assert got == {d: least[r] for (d, _), r in zip(rows, root, strict=True)}
+    assert 40 <= len(set(got.values())) < 160

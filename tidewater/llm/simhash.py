@@ -21,66 +21,97 @@ from pyspark.sql import functions as F
 
 from .common import components, spanning, stored, text_bytes
 
-#: Rows of one bucket that are compared within one cell; larger buckets are cut into blocks of about this many.
-BLOCK = 1024
+#: Rows of one bucket that are compared within one cell: a thousandth of all probes within these bounds. Larger buckets
+#: are cut into blocks of that size.
+BLOCK, BLOCK_MOST = 1024, 65_536
+#: Rows and columns of a strip of comparisons.
+STRIP, COLUMNS = 256, 16_384
 #: What a shuffled probe row and a verified pair cost, in seconds; only their ratio matters to the plan.
 ROW_COST, PAIR_COST = 4e-6, 8e-9
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """Unsigned SimHash of one text: a bit is 1 if set in over half the shingles' XXH64. No word: 0."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash out of the first."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int = 4, halves: int = 1) -> list[int]:
+    """Unsigned SimHash of one text, 64 bits a half: a bit is 1 if set in over half the shingles' hashes. No word: 0.
+
+    The first half is of the shingles' XXH64 (seed 42), the second of another mix of that.
+    """
     w = text.lower().split()
     if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
+        return [0] * halves
     joined, size = b" ".join(w), np.fromiter(map(len, w), np.int64, len(w))
     start = np.cumsum(size + 1) - size - 1
-    first, last = start[: 1 - words] if words > 1 else start, (start + size)[words - 1 :]
-    ones, n = np.zeros(64, np.int64), len(first)
+    k = min(words, len(w))
+    first, last = start[: len(w) - k + 1], (start + size)[k - 1 :]
+    ones, n = np.zeros((halves, 64), np.int64), len(first)
     for at in range(0, n, 1 << 17):
         cut = [joined[i:j] for i, j in zip(first[at : at + (1 << 17)].tolist(), last[at : at + (1 << 17)].tolist(), strict=True)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
-        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for half in range(halves):
+            ones[half] += np.add.reduce(_bits(h[:, None]), axis=0, dtype=np.int64)
+            h = _mixed(h) if halves > 1 else h
+    return [int.from_bytes(np.packbits(2 * o > n, bitorder="little").tobytes(), "little") for o in ones]
+
+
+def _bits(fp: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1, least bit first, of an array (n, halves)."""
+    return np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+
+def _names(halves: int) -> list[str]:
+    return ["fp", "fp2"][:halves]
+
 
+def _halves(b: pa.RecordBatch, at: int, halves: int) -> np.ndarray:
+    """Columns at, at + 1 ... as an array (n, halves) of uint64."""
+    return np.stack([b.column(at + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(halves)], axis=1)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long. Null text is empty; other columns are ignored."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, halves: int = 1) -> DataFrame:
+    """(doc_id, fp[, fp2]): the fingerprint as signed longs. Null text is empty; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t, words) for t in text_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["doc_id", "fp"])
+            f = np.array([fingerprint(t, words, halves) for t in text_bytes(b.column(1))], np.uint64).reshape(-1, halves).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(halves))], names=["doc_id", *_names(halves)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *_names(halves)]))
 
 
-def _together(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and for each two bits how many have both: 64 rows, whatever the input."""
+def _together(fps: DataFrame, halves: int) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and for each two bits how many have both: a row per bit, whatever the input."""
+    n = 64 * halves
 
     def run(batches):
-        g = np.zeros((64, 64))
+        g = np.zeros((n, n))
         for b in batches:
-            bits = np.unpackbits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+            bits = _bits(_halves(b, 0, halves)).astype(np.float32)
             for at in range(0, len(bits), 1 << 16):
                 g += bits[at : at + (1 << 16)].T @ bits[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(g.tolist())], names=["i", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(g.tolist())], names=["i", "c"])
 
-    rows = fps.select("fp").mapInArrow(run, "i int, c array<double>").groupBy("i").agg(*[F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(64)]).collect()
-    g = np.zeros((64, 64))
+    rows = fps.select(*_names(halves)).mapInArrow(run, "i int, c array<double>").groupBy("i").agg(*[F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(n)]).collect()
+    g = np.zeros((n, n))
     for r in rows:
-        g[r["i"]] = [r[f"c{j}"] or 0 for j in range(64)]
+        g[r["i"]] = [r[f"c{j}"] or 0 for j in range(n)]
     return fps.count(), g
 
 
 def group_bits(n: int, g: np.ndarray, parts: int) -> list[list[int]]:
-    """64 bits in `parts` groups of near-equal size, correlated bits together."""
+    """All bits in `parts` groups of near-equal size, correlated bits together."""
     p = np.diag(g) / max(n, 1)
     sd = np.sqrt(np.clip(p * (1 - p), 1e-9, None))
     corr = np.abs((g / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    free, out = set(range(64)), []
+    free, out = set(range(len(g))), []
     for k in range(parts):
         size = len(free) // (parts - k)
         group = [max(sorted(free), key=lambda b: corr[b, sorted(free)].sum())]
@@ -93,27 +124,27 @@ def group_bits(n: int, g: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-    """The given bits of each fingerprint (uint64), packed."""
+    """The given bits of each fingerprint, an array (n, halves), packed."""
     v = np.zeros(len(fp), np.int64)
     for k, b in enumerate(bits):
-        v |= ((fp >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+        v |= ((fp[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64) << k
     return v
 
 
-def _histograms(fps: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
+def _histograms(fps: DataFrame, groups: list[list[int]], halves: int) -> list[np.ndarray]:
     """For each group, how many fingerprints have each value: 2^len(group) counts, whatever the input."""
 
     def run(batches):
         c = [np.zeros(1 << len(g), np.int64) for g in groups]
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = _halves(b, 0, halves)
             for k, g in enumerate(groups):
                 c[k] += np.bincount(values(fp, g), minlength=1 << len(g))
         for k, x in enumerate(c):
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["g", "v", "c"])
 
-    t = fps.select("fp").mapInArrow(run, "g int, v int, c long").groupBy("g", "v").agg(F.sum("c").alias("c")).toArrow().to_pydict()
+    t = fps.select(*_names(halves)).mapInArrow(run, "g int, v int, c long").groupBy("g", "v").agg(F.sum("c").alias("c")).toArrow().to_pydict()
     out = [np.zeros(1 << len(g), np.int64) for g in groups]
     g, v, c = (np.array(t[k], np.int64) for k in "gvc")
     for k, x in enumerate(out):
@@ -121,11 +152,19 @@ def _histograms(fps: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
     return out
 
 
+def near(count: np.ndarray, radius: int, upward: bool = False) -> np.ndarray:
+    """For each value, how many fingerprints have one within radius bits of it (upward: just those at or below it)."""
+    w, at, out = len(count).bit_length() - 1, np.arange(len(count)), np.zeros(len(count), np.int64)
+    for r in range(radius + 1):
+        for flip in combinations(range(w), r):
+            u = at ^ sum(1 << b for b in flip)
+            out += np.where(u <= at, count[u], 0) if upward else count[u]
+    return out
+
+
 def candidates(count: np.ndarray, radius: int) -> float:
     """Pairs of fingerprints whose values in this partition differ in at most radius bits."""
-    w, at = len(count).bit_length() - 1, np.arange(len(count))
-    near = sum(float(count @ count[at ^ sum(1 << b for b in flip)]) for r in range(radius + 1) for flip in combinations(range(w), r))
-    return near / 2
+    return float(count.astype(float) @ near(count, radius)) / 2
 
 
 def allocate(counts: list[np.ndarray], radius: int) -> tuple[float, list[int]]:
@@ -145,11 +184,12 @@ def allocate(counts: list[np.ndarray], radius: int) -> tuple[float, list[int]]:
     return best.get(radius + 1, (float("inf"), []))
 
 
-def plan(fps: DataFrame, radius: int) -> tuple[list[list[int]], list[int], list[np.ndarray]]:
+def plan(fps: DataFrame, radius: int, halves: int = 1) -> tuple[list[list[int]], list[int], list[np.ndarray]]:
     """Groups of bits, their thresholds and the histograms, of the number of partitions that costs least."""
-    n, g = _together(fps)
-    tries = [group_bits(n, g, m) for m in sorted({*range(max(4, (radius + 4) // 3), max(5, (radius + 4) // 3 + 2) + 1)})]
-    counts, at, found = _histograms(fps, [x for t in tries for x in t]), 0, []
+    n, g = _together(fps, halves)
+    fewest, most = max(4 * halves, -(-(radius + 1) // 3)), max(5 * halves, -(-(radius + 1) // 2))
+    tries = [group_bits(n, g, m) for m in range(fewest, most + 1)]
+    counts, at, found = _histograms(fps, [x for t in tries for x in t], halves), 0, []
     for t in tries:
         own, at = counts[at : at + len(t)], at + len(t)
         cost, ts = allocate(own, radius)
@@ -158,13 +198,18 @@ def plan(fps: DataFrame, radius: int) -> tuple[list[list[int]], list[int], list[
     return groups, ts, own
 
 
-def _probes(fps: DataFrame, groups, ts, counts) -> DataFrame:
-    """(k, cell, fp): each fingerprint at its own value of each partition with a threshold, and at the larger values near it."""
-    blocks = [np.maximum(1, -(-c // BLOCK)).astype(np.int64) if t >= 0 else None for c, t in zip(counts, ts, strict=True)]
+def _probes(fps: DataFrame, groups, ts, counts, halves: int) -> DataFrame:
+    """(k, fp[, fp2]): each fingerprint at home, under its own value of each partition with a threshold, and as a visitor at the larger values near it.
+
+    k: partition, value, the two blocks of the cell, and 1 for visitors, from the highest bit down.
+    """
+    held = [near(c, t, True) if t >= 0 else np.zeros(1, np.int64) for c, t in zip(counts, ts, strict=True)]
+    block = min(BLOCK_MOST, max(BLOCK, sum(int(h[c > 0].sum()) for h, c in zip(held, counts, strict=True) if len(h) > 1) // 1000))
+    blocks = [np.maximum(1, -(-h // block)) for h in held]
 
     def run(batches):
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            fp = _halves(b, 0, halves)
             for part, (bits, t) in enumerate(zip(groups, ts, strict=True)):
                 if t < 0:
                     continue
@@ -177,58 +222,62 @@ def _probes(fps: DataFrame, groups, ts, counts) -> DataFrame:
                             continue
                         u, f = u[rows], fp[rows]
                         g = blocks[part][u]
-                        own = ((f * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
+                        own = ((f[:, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
                         at = np.repeat(np.arange(len(u)), g)
                         other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
                         low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-                        key = (part << 40) | u[at]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((low << 20) | high), pa.array(f[at].view(np.int64))], names=["k", "cell", "fp"])
+                        key = (part << 57) | (u[at] << 41) | (low << 21) | (high << 1) | int(r > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(f[at, k]).view(np.int64)) for k in range(halves))], names=["k", *_names(halves)])
+
+    return fps.select(*_names(halves)).mapInArrow(run, ", ".join(f"{c} long" for c in ["k", *_names(halves)]))
 
-    return fps.select("fp").mapInArrow(run, "k long, cell long, fp long")
 
+def _verified(probes: DataFrame, radius: int, halves: int) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the pairs within radius bits of which one at least is at home."""
 
-def _verified(probes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the pairs of rows of a cell within radius bits."""
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(x[..., 0] ^ y[..., 0])
+        for k in range(1, halves):
+            out = out + np.bitwise_count(x[..., k] ^ y[..., k])
+        return out
 
-    def pairs(run: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted run numbers: small runs by growing offset over all at once, large ones as a matrix in strips."""
+    def pairs(cell: np.ndarray, home: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows come by cell, those at home first: small cells by growing offset over all at once, large ones in strips."""
         i_all, j_all = [], []
-        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        size = np.diff(np.r_[start, len(run)])
-        left = np.repeat(start + size, size) - np.arange(len(run)) - 1  # rows of the same run that follow
-        small = np.repeat(size <= 96, size)
-        idx = np.flatnonzero(small & (left > 0))
-        k = 1
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        size = np.diff(np.r_[start, len(cell)])
+        left = np.repeat(start + size, size) - np.arange(len(cell)) - 1  # rows of the same cell that follow
+        small = np.repeat(size <= 64, size)
+        idx, k = np.flatnonzero(small & (left > 0) & home), 1
         while len(idx):
-            hit = idx[np.bitwise_count(fp[idx] ^ fp[idx + k]) <= radius]
+            hit = idx[apart(fp[idx], fp[idx + k]) <= radius]
             i_all.append(hit)
             j_all.append(hit + k)
             k += 1
             idx = idx[left[idx] >= k]
-        for s, n in zip(start[size > 96], size[size > 96], strict=True):
-            for at in range(s, s + n, 512):
-                to = min(at + 512, s + n)
-                i, j = np.nonzero(np.bitwise_count(fp[at:to, None] ^ fp[None, at : s + n]) <= radius)
-                i, j = i + at, j + at
-                i_all.append(i[i < j])
-                j_all.append(j[i < j])
+        for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            for at in range(s, s + int(home[s : s + n].sum()), STRIP):
+                to = min(at + STRIP, s + int(home[s : s + n].sum()))
+                for c in range(at, s + n, COLUMNS):
+                    i, j = np.nonzero(apart(fp[at:to, None], fp[None, c : min(c + COLUMNS, s + n)]) <= radius)
+                    keep = i + at < j + c
+                    i_all.append(i[keep] + at)
+                    j_all.append(j[keep] + c)
         return np.concatenate(i_all or [np.zeros(0, int)]), np.concatenate(j_all or [np.zeros(0, int)])
 
     def run(batches):
         rest: list[np.ndarray] = []
 
-        def work(k, c, fp):
-            number = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            i, j = pairs(number, fp)
-            a, b = spanning(fp[i].view(np.int64), fp[j].view(np.int64))
+        def work(k, fp):
+            i, j = pairs(k >> 1, (k & 1) == 0, fp)
+            a, b = spanning(fp[i, 0].view(np.int64), fp[j, 0].view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            k, c, fp = (b.column(x).to_numpy(zero_copy_only=False) for x in range(3))
-            now = [k, c, fp.view(np.uint64)]
+            now = [b.column(0).to_numpy(zero_copy_only=False), _halves(b, 1, halves)]
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            cut = np.flatnonzero(now[0] >> 1 != now[0][-1] >> 1)
             cut = cut[-1] + 1 if len(cut) else 0
             rest = [x[cut:] for x in now]
             if cut:
@@ -236,36 +285,41 @@ def _verified(probes: DataFrame, radius: int) -> DataFrame:
         if rest and len(rest[0]):
             yield work(*rest)
 
-    return probes.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(run, "a long, b long")
+    return probes.repartition(F.shiftright("k", 1)).sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, halves: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for every row: documents linked, directly or not, by fingerprints within radius bits.
 
+    halves: 64-bit halves of a fingerprint. With two, documents with the same first half count as the same.
+
     component_id is the smallest doc_id reachable. Repeated rows stay, each with its own result row. Empty and null
     texts have fingerprint 0 and link like any other. A row without doc_id links too; its component_id is null only if
     nothing in its component has an id. An empty table gives an empty result.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, words), "fps")
-    one = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    fps = stored(fingerprints(docs, id_col, text_col, words, halves), "fps")
+    one = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _names(halves)[1:]]), "distinct")
     if one.isEmpty():
         return fps.withColumn("component_id", F.lit(None).cast("long"))
-    groups, ts, counts = plan(one, radius)
-    links = stored(_verified(_probes(one, groups, ts, counts), radius), "links")
+    groups, ts, counts = plan(one, radius, halves)
+    links = stored(_verified(_probes(one, groups, ts, counts, halves), radius, halves), "links")
     rooted = stored(one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
     least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those that have a near duplicate on an earlier row; all columns stay.
 
+    Near duplicates: of 128 fingerprint bits, at least the share `similarity` agrees. That takes twice the bits of
+    near_duplicates(), for at so wide a radius 64 bits would link documents that have nothing in common.
+
     `docs` must give the same rows in the same partitions each time it is read, as files do. What goes is joined
     against, so that Spark broadcasts it if it is small and the texts are shuffled only if it is not.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *names)
-    found = near_duplicates(numbered, "__rid", text_col, words, radius)
+    found = near_duplicates(numbered, "__rid", text_col, words, int(128 * (1 - similarity) + 1e-9), 2)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rid")), "gone")
     return numbered.join(gone, "__rid", "left_anti").select(*names)
 
