@@ -1,16 +1,80 @@
+"""The pipeline's stages against plain versions of them on a small table."""
+
+import base64
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+
 import corpus_pipeline
-from tidewater.llm import simhash
+from tidewater.llm import gam, mixing, simhash, toxicity
+from tidewater.llm.common import stored
 
 
-def test_stages_and_run(spark, sf):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "SimHash near-dedup", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        after = stage(spark, docs, sf)
-        assert after.columns == docs.columns
-        assert after.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty()
-    out = corpus_pipeline.run(spark, sf)
-    assert out.columns[0] == "doc_id" and out.count() > 0
+def plain_near_dedup(rows):
+    """All pairs; of each group the earliest row stays."""
+    fps = [simhash.fingerprint((r.text or "").encode(), 5, 2) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= 25:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return len(set(root)), root
+
+
+def plain_words(text):
+    return (text or "").encode().split()
+
+
+def test_stages_against_plain_versions(spark, sf):
+    (_, toxic), (_, quality), (_, near), (_, mixed), (_, encoded) = corpus_pipeline.STAGES
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+    kept = stored(toxic(spark, docs, sf), "a")
+    model = toxicity.train(docs, labels)
+    finder = toxicity.Finder(model.terms)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in docs.collect() if model.score(finder.hits(r.text)) < 0.3)
+
+    good = stored(quality(spark, kept, sf), "b")
+    gm = gam.train(kept, labels)
+    assert Counter(r.doc_id for r in good.collect()) == Counter(r.doc_id for r in kept.collect() if gm.score(np.array([gam.features(r.text.encode())]))[0] >= 0.3)
+
+    one = stored(near(spark, good, sf), "c")
+    rows = good.collect()
+    groups, root = plain_near_dedup(rows)
+    left = {r.doc_id for r in one.collect()}
+    by = defaultdict(list)
+    for r, q in zip(rows, root, strict=True):
+        by[q].append(r.doc_id)
+    assert one.count() == groups and all(len(left & set(x)) == 1 for x in by.values())
+
+    mix = stored(mixed(spark, one, sf), "d")
+    size, took = Counter(), Counter()
+    text = {r.doc_id: r for r in one.collect()}
+    for r in text.values():
+        size[r.source] += len(plain_words(r.text))
+    per = Counter()
+    for r in mix.collect():
+        took[r.source] += len(plain_words(r.text))
+        per[r.doc_id] += len(plain_words(r.text))
+        assert not Counter(plain_words(r.text)) - Counter(plain_words(text[r.doc_id].text)) and r.n_chars == len(r.text)
+    names = sorted(size)
+    for s, goal in zip(names, mixing.targets([size[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True):
+        assert abs(took[s] - goal) <= 0.5
+    assert all(n <= 2 * len(plain_words(text[d].text)) for d, n in per.items())
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in mix.collect():
+        ids = np.array(theirs.encode_ordinary(r.text), "<u4").tobytes()
+        want[r.doc_id, len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.ids_sha256, r.decoded_sha256) for r in encoded(spark, mix, sf).collect()) == want
+    # run() is the same stages in turn
+    assert Counter(r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()) == Counter({k[3]: n for k, n in want.items()})
 
 
 def test_one_of_each_group_stays(spark, tmp_path):
@@ -19,3 +83,14 @@ def test_one_of_each_group_stays(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     kept = [r.text for r in simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d"))).collect()]
     assert sorted(kept, key=str) == sorted([text, rows[4][1], None, "short"], key=str)
+
+
+def test_null_columns_and_empty_table(spark, tmp_path, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.limit(30).unionAll(spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0)], docs.schema))
+    for name, df in (("some", some), ("none", docs.limit(0))):
+        df.write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        for _, stage in corpus_pipeline.STAGES:
+            df = stored(stage(spark, df, sf), "x")
+        assert df.columns[0] == "doc_id" and (name == "some") == (df.count() > 0)
