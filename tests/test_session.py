@@ -29,10 +29,12 @@ def test_legacy_is_null_in_either_mode(spark):
             assert spark.createDataFrame([(2**63 - 1,), (1,)], "v long").agg(legacy_sum("v")).first()[0] is None
 
 
-def test_result_cap_timeout_metrics(spark):
+def test_result_cap_timeout_metrics(spark, sf):
     m = session.Metrics()
     assert len(session.collect(spark.range(10).repartition(2), max_rows=10, metrics=m)) == 10
     assert m.rows == 10 and m.tasks > 0 and m.stages > 0
+    session.collect(read(spark, f"{sf}/region.parquet"), metrics=m)
+    assert m.bytes_read > 0 and m.bytes_spilled == 0
     with pytest.raises(session.ResultTooLarge):
         session.collect(spark.range(11), max_rows=10)
     slow = spark.range(4).select(F.udf(lambda x: time.sleep(60) or x, "long")("id"))
@@ -112,3 +114,29 @@ def test_memory_modes(spark):
 def test_arrow_in_and_out(spark):
     t = spark.range(3).toArrow()
     assert spark.createDataFrame(t).count() == 3
+
+
+def test_rows_as_objects(spark):
+    from dataclasses import dataclass
+
+    from tidewater.operators.dataset import from_objects, objects, schema_of
+
+    @dataclass
+    class Inner:
+        x: int
+
+    @dataclass
+    class Outer:
+        id: int
+        name: str | None
+        tags: list[str]
+        inner: Inner | None
+
+    globals()["Inner"], globals()["Outer"] = Inner, Outer
+    rows = [Outer(1, None, ["a"], Inner(3)), Outer(2, "b", [], None)]
+    df = from_objects(spark, Outer, rows)
+    assert df.schema == schema_of(Outer) and not df.schema["id"].nullable and df.schema["name"].nullable
+    assert sorted(objects(df, Outer), key=lambda o: o.id) == rows
+    assert [o.id for o in objects(df.where(typed(lambda r: r.id > 1)), Outer)] == [2]
+    with pytest.raises(ValueError):
+        list(objects(df.select(F.lit(None).cast("long").alias("id"), "name", "tags", "inner"), Outer))

@@ -44,13 +44,15 @@ def ansi(spark: SparkSession, on: bool):
 
 @dataclass
 class Metrics:
-    """What an action took: planning and execution seconds, rows and tasks, from Spark's own books."""
+    """What an action took, from Spark's own books: seconds to plan and to run, rows, stages, tasks, bytes read from files and spilled to disk."""
 
     planning_s: float = 0.0
     execution_s: float = 0.0
     rows: int = 0
     stages: int = 0
     tasks: int = 0
+    bytes_read: int = 0
+    bytes_spilled: int = 0
 
 
 def collect(df: DataFrame, timeout_ms: int | None = None, max_rows: int | None = None, metrics: Metrics | None = None) -> list[Row]:
@@ -95,6 +97,9 @@ def collect(df: DataFrame, timeout_ms: int | None = None, max_rows: int | None =
         stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
         metrics.planning_s, metrics.execution_s, metrics.rows = found["planned"], found["took"], len(found["rows"])
         metrics.stages, metrics.tasks = len(stages), sum(s.numTasks for s in stages if s)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        kept = [sc._jsc.sc().statusStore().lastStageAttempt(s.stageId) for s in stages if s]
+        metrics.bytes_read, metrics.bytes_spilled = sum(k.inputBytes() for k in kept), sum(k.diskBytesSpilled() for k in kept)
     return found["rows"]
 
 
