@@ -174,7 +174,7 @@ class Mix:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED) -> Mix:
-    """Draws the mix. Sources (a few thousand at most; null is one, the last) go to the driver with their sizes.
+    """Draws the mix. Sources (null is one, the last) go to the driver with their sizes; Spark sizes up their table itself.
 
     A source's documents lie in the order of a hash of id and size, then id, then size; rows equal in these are
     interchangeable. Empty and null texts have size 0 and are never taken. An empty table gives empty results.
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     number = F.lit(None).cast("int")
     if plans:
         named = spark.createDataFrame([(p.name, i) for i, p in enumerate(plans)], "source_ string, s int")
-        rows = sized.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "source")
+        rows = sized.join(named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "source")
     else:
         rows = sized.drop("source").withColumn("s", number)
     # Prefix sums in two steps: within buckets of about the square root of the rows, and over the buckets.
@@ -257,4 +257,4 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = m.spans.groupBy("rid").agg(F.sum("n").alias("taken"))
     named = spark.createDataFrame([(i, p.size, float(p.target)) for i, p in enumerate(m.plans)], "s int, source_size long, target double")
-    return m.rows.join(taken, "rid", "left").join(F.broadcast(named), "s").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return m.rows.join(taken, "rid", "left").join(named, "s").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
