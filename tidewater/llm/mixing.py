@@ -203,7 +203,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = _slots(spark, plans, block, seed)
     first = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("n"))
-    spans = at.join(slots, ["s", "block"]).where(end > first).select("rid", "s", "shard", "slot", "pass", (first - F.col("start")).alias("first"), (end - first).alias("n"))
+    # the plan knows nothing of how many slots there are, so it must not take them for few
+    spans = at.join(slots.hint("merge"), ["s", "block"]).where(end > first).select("rid", "s", "shard", "slot", "pass", (first - F.col("start")).alias("first"), (end - first).alias("n"))
     return Mix(rows, spans, plans)
 
 
