@@ -166,14 +166,23 @@ class Finder:
         return out
 
 
+#: Share of abuse taken for granted in hits of a kind before any is seen, worth one document of evidence a term.
+PRIOR = {"exact": 0.9, "misspelt": 0.5, "exact_quoted": 0.6, "misspelt_quoted": 0.3}
+
+
 @dataclass
 class Model:
-    """terms, probability of abuse of a hit by kind, and of a document without hits."""
+    """terms; share of toxic documents among those with a hit of a term and kind; share among all, and among those without hits."""
 
     terms: list[str] = field(default_factory=list)
-    weight: dict[str, float] = field(default_factory=lambda: {"exact": 0.9, "misspelt": 0.6, "exact_quoted": 0.6, "misspelt_quoted": 0.3})
+    share: dict[tuple[str, str], float] = field(default_factory=dict)
+    toxic: float = 0.0
     base: float = 0.05
 
+    def weight(self, h: Hit) -> float:
+        """What a hit tells beyond how common toxic documents are anyway."""
+        return max(0.0, (self.share.get((h.term, h.kind), PRIOR[h.kind]) - self.toxic) / (1 - self.toxic))
+
     def score(self, hits: list[Hit]) -> float:
         """1 - (1 - base) * product over windows of (1 - the strongest hit of the window)."""
         clean, last, best = 1 - self.base, None, 0.0
@@ -181,7 +190,7 @@ class Model:
             if last is not None and h.place - last > WINDOW:
                 clean *= 1 - best
                 best = 0.0
-            best, last = max(best, self.weight[h.kind]), h.place
+            best, last = max(best, self.weight(h)), h.place
         return 1 - clean * (1 - best)
 
 
@@ -276,15 +285,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, siz
         finder, count = Finder(terms), Counter()
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                count.update((k, label) for k in {h.kind for h in finder.hits(text or "")} or {"none"})
+                found = {(h.term, h.kind) for h in finder.hits(text or "")}
+                plain = {k for k in found if k[1].startswith("exact")}  # these explain the document; others are judged without them
+                count.update((*k, label) for k in plain or found or {("", "none")})
         keys = list(count)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())], names=["kind", "toxic", "df"])
-
-    seen = {(r["kind"], r["toxic"]): r["df"] for r in sample.select("label", "text").mapInArrow(kinds, "kind string, toxic int, df long").groupBy("kind", "toxic").agg(F.sum("df").alias("df")).collect()}
-    for k, prior in model.weight.items():
-        t, f = seen.get((k, 1), 0), seen.get((k, 0), 0)
-        model.weight[k] = (t + 2 * prior) / (t + f + 2)
-    t, f = seen.get(("none", 1), 0), seen.get(("none", 0), 0)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(2)), pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())], names=["term", "kind", "toxic", "df"])
+
+    counted = sample.select("label", "text").mapInArrow(kinds, "term string, kind string, toxic int, df long").groupBy("term", "kind", "toxic").agg(F.sum("df").alias("df"))
+    seen = {(r["term"], r["kind"], r["toxic"]): r["df"] for r in counted.collect()}  # a row per term, kind and label
+    model.toxic = toxic / (toxic + clean + 1)
+    for term, kind in {k[:2] for k in seen if k[1] != "none"}:
+        t, f = seen.get((term, kind, 1), 0), seen.get((term, kind, 0), 0)
+        model.share[term, kind] = (t + PRIOR[kind]) / (t + f + 1)
+    t, f = seen.get(("", "none", 1), 0), seen.get(("", "none", 0), 0)
     model.base = (t + 0.05) / (t + f + 1)
     dropped(sample)
     return model
