@@ -198,6 +198,18 @@ def test_expected_counts_are_the_gradient():
         assert got[p] == pytest.approx((s[0] - s[1]) / 2e-5, rel=1e-4, abs=1e-9)
 
 
+def test_rounds_raise_the_likelihood_of_training_words(spark):
+    v, words, counts = toy(), [b"abab", b"aa", b"ba", b"unseen"], [5, 2, 1, 0]
+    table = spark.createDataFrame(list(zip(map(bytearray, words), counts, strict=True)), "word binary, c long").repartition(3)
+    like = []
+    for rounds in range(4):
+        prob = lattice_lm.train(table, 3, v, rounds)
+        assert prob.sum() == pytest.approx(1) and (rounds == 0 or (prob > 0).all())
+        like.append(np.array(counts) @ lattice_lm.Lattice(v, prob).scores(words) + 3 * math.log10(prob[v.end]))
+    assert like[0] < like[1] < like[2] < like[3]
+    assert lattice_lm.train(table.limit(0), 0, v).sum() == pytest.approx(1)
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "FREQUENT", 3)  # most words go through the join
     rows = [(i, " ".join(random.Random(i).choices(["The", "cat", "sat", "ON", "mat", "é"], k=i % 7))) for i in range(40)] + [(5, None), (5, "zebra the"), (None, "cat")]

@@ -2,9 +2,9 @@
 
 A word's probability is the sum over all its segmentations into pieces of a public vocabulary, by a forward recursion
 in log space; characters may also be spelt in the vocabulary's byte pieces, so no word is impossible. The vocabulary's
-own scores are merge ranks rather than log-probabilities, so they give the prior (weight 1/(rank + 10)), and one round
-of expectation maximisation over every distinct training word, weighted by its count, turns that into piece
-probabilities. A text is its words, each begun by the word mark, and an end; its probability is their product.
+own scores are merge ranks rather than log-probabilities, so they give the prior (weight 1/(rank + 10)), and rounds of
+expectation maximisation over every distinct training word, weighted by its count, turn that into piece probabilities.
+A text is its words, each begun by the word mark, and an end; its probability is their product.
 
 Words are counted over all documents. Documents then score their frequent words (a bounded table) on the spot and join
 the others to the word table.
@@ -31,6 +31,8 @@ FREQUENT, HELD, TOGETHER = 65_536, 400_000, 100_000
 PIECE_PRIOR, ADDED = 0.01, 0.1
 #: Words longer than this are scored one by one.
 LONG = 200
+#: Rounds of expectation maximisation: held-out scores rise by under 0.1 % after them.
+ROUNDS = 5
 
 
 @dataclass
@@ -233,23 +235,36 @@ def _scored(words: DataFrame, vocabulary: Vocabulary, prob: np.ndarray) -> DataF
     return words.select("word", "c").mapInArrow(run, "word binary, c long, lm double")
 
 
-def train(words: DataFrame, documents: int, vocabulary: Vocabulary) -> np.ndarray:
-    """Piece probabilities: one round of expectation maximisation over all training words, ends included."""
+def train(words: DataFrame, documents: int, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities: expectation maximisation over all training words, ends included; a job over the words a round."""
+    prob = vocabulary.prior
+    for _ in range(rounds):
+        prob = _maximised(_expected(words, vocabulary, prob), documents, vocabulary)
+    return prob
+
+
+def _expected(words: DataFrame, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in all training words."""
 
     def run(batches):
-        lattice = Lattice(vocabulary, vocabulary.prior)
-        total = np.zeros(len(vocabulary.prior))
+        lattice = Lattice(vocabulary, prob)
+        total = np.zeros(len(prob))
         for t in _in_chunks(batches, TOGETHER):
             total += lattice.expected(t.column("word").to_pylist(), t.column("c").to_numpy().astype(float))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "x"])
 
     rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
-    count = np.zeros(len(vocabulary.prior))
+    count = np.zeros(len(prob))
     count[rows.column("piece").to_numpy()] = rows.column("x").to_numpy()
+    return count
+
+
+def _maximised(count: np.ndarray, documents: int, vocabulary: Vocabulary) -> np.ndarray:
+    """The probabilities that those counts and the ends make likeliest, with a small prior on each usable piece."""
+    count = count.copy()
     count[vocabulary.end] += documents
-    usable = vocabulary.prior > 0
-    count[usable] += PIECE_PRIOR
+    count[vocabulary.prior > 0] += PIECE_PRIOR
     return count / count.sum()
 
 
