@@ -32,7 +32,7 @@ PIECE_PRIOR, ADDED = 0.01, 0.1
 #: Words longer than this are scored one by one.
 LONG = 200
 #: Rounds of expectation maximisation: held-out scores rise by under 0.1 % after them.
-ROUNDS = 5
+ROUNDS = 4
 
 
 @dataclass
