@@ -43,6 +43,26 @@ def test_every_prefix_has_its_encoding(piece):
         assert OWN.backward(last[:n]) == OWN.merged(piece[:n])
 
 
+def test_pairs_by_their_seams_equal_merging():
+    rng = random.Random(5)
+    often = [t for piece in ("strawberries internationalization", "aaaaaaaaaaaa", "ababababab", "日本語🙂", "        ") for n in range(len(piece.encode())) for t in OWN.merged(piece.encode()[n : n + 9])]
+    pairs = [(rng.randrange(len(RANKS)), rng.randrange(len(RANKS))) for _ in range(20_000)] + [(a, b) for a in set(often) for b in set(often)]
+    for a, b in pairs:
+        assert OWN.stay_apart(a, b) == (OWN.merged(OWN.token[a] + OWN.token[b]) == [a, b])
+    for t in rng.sample(range(len(RANKS)), 3000):
+        a, b = OWN.last_merge(t)
+        assert (a == b == t and len(OWN.token[t]) == 1) or OWN.token[a] + OWN.token[b] == OWN.token[t]
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 4)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    packed, rng = bpe._Packed(bpe.PrefixBPE(RANKS)), random.Random(7)
+    for w in rng.choices(["straw", " berries", "zzqx", "éé", "thth", " 日本", "unlikeliest"], k=200):
+        assert np.frombuffer(packed[w], "<u4").tolist() == THEIRS.encode_ordinary(w)
+        assert len(packed) <= 2 and len(packed.older) <= 2
+
+
 def test_appends_and_edits():
     rng = random.Random(3)
     g = bpe.Growing(OWN, b"strawber")

@@ -2,7 +2,8 @@
 
 Every prefix of a piece has exactly one valid last token: the one whose predecessor (the prefix before it) ends in a
 token that stays apart from it when the two are encoded together. So one token number per prefix holds the encodings
-of all prefixes; appending goes on from there, and an edit starts again at the edited place.
+of all prefixes; appending goes on from there, and an edit starts again at the edited place. An Aho-Corasick automaton
+of the vocabulary names the tokens that end at each byte.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ import sys
 import types
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's piece cache, and of its memory of token pairs; either is emptied when full.
+#: Entries of a worker's piece cache (its older half goes when full), and of its memory of token pairs (emptied when full).
 PIECES, PAIRS = 300_000, 250_000
 
 
@@ -30,9 +32,13 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.token = [b""] * (max(ranks.values()) + 1)
+        self.ending = ahocorasick.Automaton()
         for t, r in ranks.items():
             self.token[r] = t
+            self.ending.add_word(t.decode("latin-1"), (r, len(t)))
+        self.ending.make_automaton()
         self.apart: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
 
     @classmethod
     def from_file(cls, content: bytes) -> PrefixBPE:
@@ -48,11 +54,39 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def last_merge(self, token: int) -> tuple[int, int]:
+        """The two tokens that merge into this one; a single byte is both of its own."""
+        found = self.halves.get(token)
+        if found is None:
+            text, found = self.token[token], (token, token)
+            for i in range(1, len(text)):
+                a, b = self.ranks.get(text[:i]), self.ranks.get(text[i:])
+                whole = a is not None and b is not None and (a < token or i == 1) and (b < token or i == len(text) - 1)
+                if whole and self._meet(a, b, token):
+                    found = a, b
+                    break
+            self.halves[token] = found
+        return found
+
+    def _meet(self, left: int, right: int, below: int) -> bool:
+        """Whether no merge of rank under `below` crosses the seam of these two: their merges there are undone, youngest first."""
+        while True:
+            if self.ranks.get(self.token[left] + self.token[right], below) < below:
+                return False
+            a, b = self.last_merge(left)[1], self.last_merge(right)[0]
+            if a == left and b == right:
+                return True
+            # of equal merges the leftmost comes first, so that one at the seam waits for the left side's only
+            if b == right or (a != left and left > right):
+                below, left = left, a
+            else:
+                below, right = right + 1, b
+
     def stay_apart(self, left: int, right: int) -> bool:
+        """Whether the encoding of both, side by side, is just these two."""
         known = self.apart.get(pair := left << 32 | right)
         if known is None:
-            both = self.token[left] + self.token[right]
-            known = both not in self.ranks and self.merged(both) == [left, right]
+            known = self._meet(left, right, 1 << 40)
             if len(self.apart) >= PAIRS:
                 self.apart.clear()
             self.apart[pair] = known
@@ -60,15 +94,17 @@ class PrefixBPE:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """last[i] is the last token of piece[: i + 1]; continues the list to the whole piece."""
-        ranks = self.ranks
-        for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = ranks.get(piece[start:end])
-                if t is not None and (not start or self.stay_apart(last[start - 1], t)):
-                    last.append(t)
+        begin, done = max(0, len(last) + 1 - self.longest), len(last)
+        for at, (t, size) in self.ending.iter(piece[begin:].decode("latin-1")):
+            end = begin + at + 1
+            if end > done:
+                if end > done + 1:
                     break
-            else:
-                raise ValueError("a byte has no token")
+                if size == end or self.stay_apart(last[end - size - 1], t):
+                    last.append(t)
+                    done = end
+        if done < len(piece):
+            raise ValueError("a byte has no token")
         return last
 
     def backward(self, last: list[int]) -> list[int]:
@@ -144,13 +180,16 @@ class _Packed(dict):
 
     def __init__(self, bpe: PrefixBPE):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.bpe.encode(piece.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.bpe.encode(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= PIECES:
+            if len(self) >= PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
