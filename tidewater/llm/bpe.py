@@ -14,6 +14,7 @@ import struct
 import sys
 import types
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's piece cache (its older half goes when full), and of its memory of token pairs (emptied when full).
-PIECES, PAIRS = 300_000, 250_000
+PIECES, PAIRS = 160_000, 120_000
+#: Rows of a batch that are worked on at once.
+ROWS = 512
 
 
 class PrefixBPE:
@@ -32,11 +35,8 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.token = [b""] * (max(ranks.values()) + 1)
-        self.ending = ahocorasick.Automaton()
         for t, r in ranks.items():
             self.token[r] = t
-            self.ending.add_word(t.decode("latin-1"), (r, len(t)))
-        self.ending.make_automaton()
         self.apart: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
 
@@ -44,6 +44,15 @@ class PrefixBPE:
     def from_file(cls, content: bytes) -> PrefixBPE:
         return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, content.splitlines())})
 
+    @cached_property
+    def ending(self) -> ahocorasick.Automaton:
+        """Finds all tokens in a piece, by where they end, as (rank, length)."""
+        out = ahocorasick.Automaton()
+        for t, r in self.ranks.items():
+            out.add_word(t.decode("latin-1"), (r, len(t)))
+        out.make_automaton()
+        return out
+
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of least rank, leftmost first, until none has a rank."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -203,14 +212,24 @@ def _of_worker(key: str, make):
     return held[key]
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _vocabulary(path: str, content) -> PrefixBPE:
+    return _of_worker(f"bpe {path}", lambda: PrefixBPE.from_file(content.value))
+
+
 def _encoder(path: str, pattern: str, content):
     """Batches (doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = _of_worker(f"bpe {path}", lambda: _Packed(PrefixBPE.from_file(content.value)))
+        packed = _of_worker(f"packed {path}", lambda: _Packed(_vocabulary(path, content)))
         cut = regex.compile(pattern)
         get = packed.__getitem__
-        for b in batches:
+        for b in _rows(batches):
             out = []
             for t in b.column(1).to_pylist():
                 t = t or ""
@@ -227,8 +246,8 @@ def _decoder(path: str, content):
     """Batches (doc_id, ids) to (doc_id, ids, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _of_worker(f"tokens {path}", lambda: PrefixBPE.from_file(content.value).token).__getitem__
-        for b in batches:
+        get = _vocabulary(path, content).token.__getitem__
+        for b in _rows(batches):
             out = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
 
