@@ -94,3 +94,39 @@ def test_null_columns_and_empty_table(spark, tmp_path, sf):
         for _, stage in corpus_pipeline.STAGES:
             df = stored(stage(spark, df, sf), "x")
         assert df.columns[0] == "doc_id" and (name == "some") == (df.count() > 0)
+
+
+def test_near_dedup_goes_by_shingle_similarity(spark, tmp_path):
+    """Fingerprints may be near; only a Jaccard similarity of at least 0.8 counts."""
+    rng = np.random.default_rng(5)
+    rows, shingles = [], []
+    for i in range(24):
+        base = [f"w{x}" for x in rng.integers(0, 10_000, 150)]
+        for changed in (0, 1, 3, 7, 12):  # a changed word is in five shingles
+            near = list(base)
+            for at in rng.choice(150, changed, replace=False):
+                near[at] = f"n{rng.integers(10_000)}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(900 + i, "one very short text" + " and more" * (i % 3)) for i in range(4)]
+    for _, t in rows:
+        w = t.split()
+        shingles.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) >= 0.8:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    fps = [simhash.fingerprint(t.encode(), 5, 2) for _, t in rows]
+    assert any(root[i] != root[j] and sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= 25 for i in range(len(rows)) for j in range(i))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    kept = [r.doc_id for r in simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    assert sorted(kept) == [rows[i][0] for i in sorted(set(root))]
+
+
+def test_sets_in_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(30)] + [(99, " ".join(base[::-1]))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d"))).collect()) == [0, 99]

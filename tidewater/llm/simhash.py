@@ -10,8 +10,10 @@ bucket meets in one task. A cell hands on a spanning forest of its links, never
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, spanning, stored, text_bytes
+from .common import components, dropped, spanning, stored, text_bytes
 
 #: Rows of one bucket that are compared within one cell: a thousandth of all probes within these bounds. Larger buckets
 #: are cut into blocks of that size.
 BLOCK, BLOCK_MOST = 1024, 65_536
 #: Rows and columns of a strip of comparisons.
 STRIP, COLUMNS = 256, 16_384
+#: Shingle sets of a block, and bytes of their hashes on average.
+SETS, SET_BYTES = 256, 16 << 20
 #: What a shuffled probe row and a verified pair cost, in seconds; only their ratio matters to the plan.
 ROW_COST, PAIR_COST = 4e-6, 8e-9
 
@@ -38,26 +42,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int = 4, halves: int = 1) -> list[int]:
-    """Unsigned SimHash of one text, 64 bits a half: a bit is 1 if set in over half the shingles' hashes. No word: 0.
-
-    The first half is of the shingles' XXH64 (seed 42), the second of another mix of that.
-    """
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `words` words, lower-cased, in turn; of a shorter text one for all its words. No word: none."""
     w = text.lower().split()
     if not w:
-        return [0] * halves
+        return np.zeros(0, np.uint64)
     joined, size = b" ".join(w), np.fromiter(map(len, w), np.int64, len(w))
     start = np.cumsum(size + 1) - size - 1
     k = min(words, len(w))
     first, last = start[: len(w) - k + 1], (start + size)[k - 1 :]
-    ones, n = np.zeros((halves, 64), np.int64), len(first)
-    for at in range(0, n, 1 << 17):
+    out = []
+    for at in range(0, len(first), 1 << 17):
         cut = [joined[i:j] for i, j in zip(first[at : at + (1 << 17)].tolist(), last[at : at + (1 << 17)].tolist(), strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut)))
+    return np.concatenate(out)
+
+
+def _majority(hashes: np.ndarray, halves: int) -> list[int]:
+    """A bit is 1 if set in over half the hashes; the second half is of another mix of them."""
+    ones = np.zeros((halves, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 17):
+        h = hashes[at : at + (1 << 17)]
         for half in range(halves):
             ones[half] += np.add.reduce(_bits(h[:, None]), axis=0, dtype=np.int64)
             h = _mixed(h) if halves > 1 else h
-    return [int.from_bytes(np.packbits(2 * o > n, bitorder="little").tobytes(), "little") for o in ones]
+    return [int.from_bytes(np.packbits(2 * o > len(hashes), bitorder="little").tobytes(), "little") for o in ones]
+
+
+def fingerprint(text: bytes, words: int = 4, halves: int = 1) -> list[int]:
+    """Unsigned SimHash of one text, 64 bits a half: a bit is 1 if set in over half the shingles' hashes. No word: 0.
+
+    The first half is of the shingles' XXH64 (seed 42), the second of another mix of that.
+    """
+    return _majority(shingles(text, words), halves)
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -308,19 +325,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def candidate_radius(similarity: float, bits: int = 128, deviations: float = 4.0) -> int:
+    """Bits that fingerprints of two sets of this Jaccard similarity differ in, so many standard deviations above the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def alike(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets of at least this Jaccard similarity; if there are two blocks, of sets of different ones."""
+    m, size = len(sets), np.array(list(map(len, sets)), np.int64)
+    apart, i_all, j_all = len(np.unique(block)) > 1, [np.zeros(0, int)], [np.zeros(0, int)]
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    held = every[order]
+    start = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, int)
+    times = np.diff(np.r_[start, len(held)])
+    number = np.empty(len(every), np.int64)
+    number[order] = np.repeat(np.arange(len(start)), times)
+    owner, at = np.repeat(np.arange(m), size)[order], np.cumsum(size) - size
+    for i in range(m - 1):
+        u = number[at[i] : at[i] + size[i]]
+        n = times[u]
+        both = np.bincount(owner[np.arange(n.sum()) + np.repeat(start[u] - np.cumsum(n) + n, n)], minlength=m)
+        found = both / np.maximum(size[i] + size - both, 1) >= similarity
+        found[: i + 1] = False
+        if apart:
+            found &= block != block[i]
+        j = np.flatnonzero(found)
+        i_all.append(np.full(len(j), i))
+        j_all.append(j)
+    return np.concatenate(i_all), np.concatenate(j_all)
+
+
+def _similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the pairs of the same `root` whose shingle sets are similar; sets: (root, rid, hashes)."""
+    n = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
+    g = stored(n.where("n > 1").select("root", F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("g")), "blocks")
+    own = F.pmod(F.xxhash64("rid"), F.col("g")).cast("int")
+    cells = sets.join(g, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rid", "hashes")
+
+    def work(own: list[int], rid: list[int], hashes: list[bytes]) -> pa.RecordBatch:
+        i, j = alike([np.frombuffer(x, "<u8") for x in hashes], np.array(own), similarity)
+        rid = np.array(rid, np.int64)
+        a, b = spanning(rid[i], rid[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, cell in groupby(rows, lambda r: r[:3]):
+            yield work(*zip(*(r[3:] for r in cell), strict=True))
+
+    return cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, "a long, b long")
+
+
 def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those that have a near duplicate on an earlier row; all columns stay.
 
-    Near duplicates: of 128 fingerprint bits, at least the share `similarity` agrees. That takes twice the bits of
-    near_duplicates(), for at so wide a radius 64 bits would link documents that have nothing in common.
+    Near duplicates: the sets of shingles have at least this Jaccard similarity, counted exactly (shingles are told apart
+    by their XXH64). 128-bit fingerprints of the sets only find the candidates, within candidate_radius() bits; texts of
+    one set are one from the first aggregate on. Candidates that hang together meet in cells of two blocks of sets.
 
     `docs` must give the same rows in the same partitions each time it is read, as files do. What goes is joined
     against, so that Spark broadcasts it if it is small and the texts are shuffled only if it is not.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *names)
-    found = near_duplicates(numbered, "__rid", text_col, words, int(128 * (1 - similarity) + 1e-9), 2)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rid")), "gone")
+    radius = candidate_radius(similarity)
+
+    def points(batches):
+        for b in batches:
+            keys, fps = [], []
+            for t in text_bytes(b.column(1)):
+                s = np.unique(shingles(t, words))
+                keys.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
+                fps.append(_majority(s, 2))
+            f = np.array(fps, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(2))], names=["rid", "key", "fp", "fp2"])
+
+    def hashes(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([np.unique(shingles(t, words)).astype("<u8").tobytes() for t in text_bytes(c.column(2))], pa.binary())], names=["root", "rid", "hashes"])
+
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    texts = stored(numbered.select(F.col("__rid").alias("rid"), text).mapInArrow(points, "rid long, key binary, fp long, fp2 long"), "texts")
+    one = stored(texts.groupBy("key").agg(*[F.min(c).alias(c) for c in ("rid", "fp", "fp2")]), "distinct")
+    fps = stored(one.select("fp", "fp2").distinct(), "fps")
+    if fps.isEmpty():
+        return docs
+    links = stored(_verified(_probes(fps, *plan(fps, radius, 2), 2), radius, 2), "links")
+    near_ones = one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("rid", F.coalesce("root", "fp").alias("root"))
+    near_ones = stored(near_ones, "candidates")
+    crowds = stored(near_ones.groupBy("root").count().where("count > 1").select("root"), "crowds")
+    near_ones = stored(near_ones.join(crowds, "root").select("root", "rid"), "candidates")
+    rows = numbered.select(F.col("__rid").alias("rid"), text).join(near_ones, "rid").select("root", "rid", "text")
+    sets = stored(rows.mapInArrow(hashes, "root long, rid long, hashes binary"), "sets")
+    roots = components(stored(_similar(sets, similarity), "links"))
+    gone = one.select("key", F.col("rid").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
+    gone = stored(texts.select("key", "rid").join(gone, "key").where("rid <> first").select(F.col("rid").alias("__rid")), "gone")
+    for old in (texts, one, fps, links, crowds, near_ones, sets):
+        dropped(old)
     return numbered.join(gone, "__rid", "left_anti").select(*names)
 
 
