@@ -130,3 +130,36 @@ def test_sets_in_many_blocks(spark, tmp_path, monkeypatch):
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(30)] + [(99, " ".join(base[::-1]))]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     assert sorted(r.doc_id for r in simhash.one_of_each_group(spark.read.parquet(str(tmp_path / "d"))).collect()) == [0, 99]
+
+
+def turned_about(spark, rows, schema, folder):
+    """A table whose rows come in the opposite order each time it is read again."""
+
+    def run(batches):
+        for b in batches:
+            n = len(list(folder.iterdir()))
+            (folder / str(n)).touch()
+            yield b.take(list(range(b.num_rows))[:: -1 if n % 2 else 1])
+
+    return spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(run, schema)
+
+
+def test_rows_in_another_order_when_read_again(spark, tmp_path):
+    folder = tmp_path / "dedup"
+    folder.mkdir()
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(i, texts[i]) for i in (0, 1, 2, 3)] + [(9, texts[0]), (8, texts[0])]
+    kept = simhash.one_of_each_group(turned_about(spark, rows, "doc_id long, text string", folder)).collect()
+    assert sorted(r.text for r in kept) == texts
+
+    folder = tmp_path / "mix"
+    folder.mkdir()
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(3 + 40 * i)), "ab"[i % 2]) for i in range(8)]
+    docs = turned_about(spark, rows, "doc_id long, text string, source string", folder)
+    size = Counter({x: sum(3 + 40 * i for i in range(8) if "ab"[i % 2] == x) for x in "ab"})
+    goal = mixing.targets([size["a"], size["b"]], list(mixing.WEIGHTS[:2]))
+    took = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        assert set(r.text.split()) <= set(rows[r.doc_id][1].split())
+        took[r.source] += len(r.text.split())
+    assert all(abs(took[s] - g) <= 0.5 for s, g in zip("ab", goal, strict=True))

@@ -173,14 +173,16 @@ class Mix:
     plans: list[SourcePlan]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED) -> Mix:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = SEED, number_col: str | None = None) -> Mix:
     """Draws the mix. Sources (null is one, the last) go to the driver with their sizes; Spark sizes up their table itself.
 
     A source's documents lie in the order of a hash of id and size, then id, then size; rows equal in these are
     interchangeable. Empty and null texts have size 0 and are never taken. An empty table gives empty results.
+
+    number_col: a column with another number for each row, which is then its rid; without it rows are numbered here.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select((F.col(number_col) if number_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = stored(sized, "sizes")
     totals = sorted(((r["source"], r["n"], r["size"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([t[2] for t in totals], [weights[i % len(weights)] for i in range(len(totals))])
@@ -212,13 +214,13 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """The mix as documents: for each pass over a document of which something is taken, a row with the text taken.
 
     A document taken whole keeps its text as it is; of others each run of words keeps its own blanks, and runs are
-    joined by line feeds. A column n_chars, if there is one, is counted anew; all other columns stay. `docs` must give
-    the same rows in the same partitions each time it is read, as files do.
+    joined by line feeds. A column n_chars, if there is one, is counted anew; all other columns stay. `docs` is read
+    once: its rows are stored with their numbers, by which the spans are joined to them.
     """
-    m = mix(docs, text_col=text_col, **options)
-    spans = m.spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "first", "n")).alias("spans"))  # a few rows per block of the document
     names = docs.columns
-    numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(f"`{c}`") for c in names])
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(f"`{c}`") for c in names]), "numbered")
+    m = mix(numbered, text_col=text_col, number_col="__rid", **options)
+    spans = m.spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "first", "n")).alias("spans"))  # a few rows per block of the document
     joined = numbered.join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans"), "__rid").select(*[F.col(f"`{c}`") for c in names], "__spans")
     schema = joined.select(*[F.col(f"`{c}`") for c in names]).schema
 

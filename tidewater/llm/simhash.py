@@ -386,11 +386,11 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
     by their XXH64). 128-bit fingerprints of the sets only find the candidates, within candidate_radius() bits; texts of
     one set are one from the first aggregate on. Candidates that hang together meet in cells of two blocks of sets.
 
-    `docs` must give the same rows in the same partitions each time it is read, as files do. What goes is joined
-    against, so that Spark broadcasts it if it is small and the texts are shuffled only if it is not.
+    `docs` is read once: its rows are stored with their numbers, by which what goes is joined against, so that Spark
+    broadcasts it if it is small and the texts are shuffled only if it is not.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.select(F.monotonically_increasing_id().alias("__rid"), *names)
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *names), "numbered")
     radius = candidate_radius(similarity)
 
     def points(batches):
@@ -414,7 +414,7 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
     one = stored(texts.groupBy("key").agg(*[F.min(c).alias(c) for c in ("rid", "fp", "fp2")]), "distinct")
     fps = stored(one.select("fp", "fp2").distinct(), "fps")
     if fps.isEmpty():
-        return docs
+        return numbered.select(*names)
     links = stored(_verified(_probes(fps, *plan(fps, radius, 2), 2), radius, 2), "links")
     near_ones = one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("rid", F.coalesce("root", "fp").alias("root"))
     near_ones = stored(near_ones, "candidates")
