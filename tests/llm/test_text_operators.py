@@ -321,3 +321,20 @@ def test_cascade_is_exact(spark):
     assert len(c.levels) >= 2
     wrong = universe.where(c.has(url_filter.F.col("key")) != (url_filter.F.substring("key", url_filter.F.lit(2), url_filter.F.lit(9)).cast("long") < 300))
     assert wrong.count() == 0
+
+
+def test_toxicity_of_slurs_that_clean_documents_quote(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(600):
+        w = [f"w{x}" for x in rng.integers(0, 3000, 40)]
+        if i % 6 == 0:
+            w[10] = "grumpotted"
+        elif i % 6 < 3:
+            w[10:13] = ["said", '"grumpotted"', "then"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("grumpotted".startswith(t.rstrip("*")) for t in m.terms)
+    assert all(r.predicted == int(r.doc_id % 6 == 0) for r in toxicity.classify(d, m).collect())

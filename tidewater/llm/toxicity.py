@@ -1,7 +1,7 @@
 """Toxicity by misspelling-tolerant lexicon look-up and context windows.
 
 The lexicon (whole words and stems) is learned from labelled documents: first the terms that toxic documents have in too
-many different surroundings, and clean ones hardly ever, for chance; then, for documents that these leave unexplained,
+many different surroundings, and clean ones hardly ever outside quotations, for chance; then, for documents that these leave unexplained,
 the term found in most of them, again and again. Surroundings keep a copied document's rare words from counting as slurs. A Levenshtein
 automaton of each term's tolerance, intersected with the lexicon's trie, is determinised as words come by: a word then
 costs a table step per letter and most words die within a few. Hits close together are one context window; a hit in
@@ -28,8 +28,8 @@ from .gam import labelled_sample
 SAMPLE, CANDIDATES, TERMS = 12_000, 20_000, 500
 #: A term is at least so many times as frequent among toxic documents, and explains at least this share of them.
 RATIO, COVER = 30.0, 0.002
-#: Clean documents per toxic surrounding that a term may have; what counts as nearly as many; odds of a chance find.
-IMPURE, NEARLY, CHANCE = 0.02, 0.9, 1e-7
+#: What counts as nearly as many; odds of a chance find.
+NEARLY, CHANCE = 0.9, 1e-7
 STEMS = range(4, 9)
 #: Words between hits of one window; words before and after a hit that may open and close its quotation.
 WINDOW, QUOTE = 8, 4
@@ -126,6 +126,13 @@ class Automaton:
         return (best[1], best[0]) if best else None
 
 
+def in_quotation(tokens: list[str], i: int) -> bool:
+    """Whether a quotation opens at or before the token and closes at or after it, within QUOTE tokens each way."""
+    opened = any(x[0] in OPENING for x in tokens[max(0, i - QUOTE) : i + 1])
+    closed = any(x.rstrip(".,;:!?")[-1:] and x.rstrip(".,;:!?")[-1] in CLOSING for x in tokens[i : i + QUOTE + 1])
+    return opened and closed
+
+
 @dataclass(frozen=True)
 class Hit:
     place: int
@@ -160,9 +167,7 @@ class Finder:
         for i, t in enumerate(tokens):
             found = seen[t] if t in seen else self._look(t)
             if found:
-                opened = any(x[0] in OPENING for x in tokens[max(0, i - QUOTE) : i + 1])
-                closed = any(x.rstrip(".,;:!?")[-1:] and x.rstrip(".,;:!?")[-1] in CLOSING for x in tokens[i : i + QUOTE + 1])
-                out.append(Hit(i, found[0], found[1], opened and closed))
+                out.append(Hit(i, found[0], found[1], in_quotation(tokens, i)))
         return out
 
 
@@ -194,11 +199,13 @@ class Model:
         return 1 - clean * (1 - best)
 
 
-def _terms_of(text: str) -> dict[str, int]:
-    """Terms of a text, whole words and stems, each with a hash of the words around its first place."""
-    words, out = list(map(normal, text.split())), {}
+def _terms_of(text: str, unquoted: bool = False) -> dict[str, int]:
+    """Terms of a text, whole words and stems, each with a hash of the words around its first place (unquoted: outside quotations)."""
+    tokens, out = text.split(), {}
+    words, done = list(map(normal, tokens)), set()
     for i, w in enumerate(words):
-        if w and w not in out:
+        if w and w not in done and not (unquoted and in_quotation(tokens, i)):
+            done.add(w)
             around = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
             for t in ([w] if len(w) >= 3 else []) + [w[:n] + "*" for n in STEMS if len(w) > n]:
                 out.setdefault(t, around)
@@ -217,13 +224,13 @@ def _supported(sample: DataFrame) -> DataFrame:
 
 
 def _documents_with(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
-    """(term, n): documents with each of the wanted terms."""
+    """(term, n): documents with each of the wanted terms outside quotations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                count.update(wanted.intersection(_terms_of(text or "")))
+                count.update(wanted.intersection(_terms_of(text or "", unquoted=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
 
     return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -267,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, siz
         least = max(2, round(COVER * toxic))
         support = {r["term"]: r["n"] for r in _supported(sample.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
         in_clean = {r["term"]: r["n"] for r in _documents_with(sample.where("label = 0"), frozenset(support)).collect()}
-        telling = {t: n for t, n in support.items() if in_clean.get(t, 0) <= IMPURE * n and n / toxic >= RATIO * (in_clean.get(t, 0) + 0.5) / (clean + 1)}
+        telling = {t: n for t, n in support.items() if n / toxic >= RATIO * (in_clean.get(t, 0) + 0.5) / (clean + 1)}
         # so many surroundings that no term of the sample would have them in toxic documents alone by chance
         sure = math.log(CHANCE) / math.log(min(0.5, (toxic + 1) / (toxic + clean + 2)))
         model.terms = _leanest({t: n for t, n in telling.items() if n >= sure})[:TERMS]
