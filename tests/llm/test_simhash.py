@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 import xxhash
@@ -104,3 +106,63 @@ def test_wide_fingerprints_against_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, radius=25, halves=2).collect()}
     assert got == {d: least[r] for (d, _), r in zip(rows, root, strict=True)}
     assert 40 <= len(set(got.values())) < 160
+
+
+def joined(n, i, j):
+    """The parts that links make of 0..n-1, each named by its least member."""
+    root = list(range(n))
+    for a, b in zip(i, j, strict=True):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    return root
+
+
+def test_equal_first_halves_with_different_second_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        first, second = int(rng.integers(3)) * 0x0F0F0F0F0F0F, int(rng.integers(4)) * 0x3333333333
+        for _ in range(int(rng.integers(4))):
+            second ^= 1 << int(rng.integers(60))
+        rows.append((i, first, second))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long, fp2 long"))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sum((a ^ b).bit_count() for a, b in zip(rows[i][1:], rows[j][1:], strict=True)) <= 4]
+    want = joined(len(rows), *zip(*pairs, strict=True))
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), radius=4, halves=2).collect()
+    assert sorted((r.doc_id, r.fp, r.fp2, r.component_id) for r in got) == [(*r, w) for r, w in zip(rows, want, strict=True)]
+    assert len({r[1] for r in rows}) == 3 < len(set(want)) < len(rows)
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_forest_joins_what_all_pairs_join(sized, monkeypatch):
+    monkeypatch.setattr(simhash, "STRIP", 16)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
+    rng = np.random.default_rng(7)
+    fp = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)[rng.integers(0, 40, 300)]
+    for _ in range(6):
+        fp[np.arange(300), rng.integers(0, 2, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    size = np.r_[np.sort(rng.integers(1, 400, 180)), np.sort(rng.integers(1, 400, 120))]
+    i, j = simhash.forest(fp, 180, 9, size if sized else None, 0.8)
+    near = lambda a, b: int(simhash.apart(fp[a], fp[b])) <= 9 and (not sized or min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+    must = [(a, b) for a in range(180) for b in range(a + 1, 300) if near(a, b)]
+    parts = joined(300, i, j)
+    assert len(i) == 300 - len(set(parts)) and all(parts[a] == parts[b] for a, b in must)
+    assert all(int(simhash.apart(fp[a], fp[b])) <= 9 for a, b in zip(i, j, strict=True))
+
+
+def test_dense_bucket_in_bounded_memory():
+    fp = np.full((12_000, 1), 12345, np.uint64)
+    fp[:, 0] ^= np.uint64(1) << np.arange(12_000, dtype=np.uint64) % np.uint64(64)
+    tracemalloc.start()
+    i, _ = simhash.forest(fp, len(fp), 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(fp) - 1 and most < 200e6  # all pairs would take 1,152 MB
+
+
+def test_very_long_text(spark):
+    """Beyond the slices that shingles are hashed in."""
+    words = [f"w{i % 997}x{i % 89}" for i in range(140_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:70_000], "other", *words[70_000:]])), (3, "short")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].fp % 2**64 == slow_fingerprint(rows[0][1]) and (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3)

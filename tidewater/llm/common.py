@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or (only where unset) a temporary one."""
+    """The folder every executor sees: spark.checkpoint.dir, or, where it is unset and all runs on one machine, a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -54,6 +57,19 @@ def fold_of(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def text_of(column: str) -> Column:
+    """The column as text; bytes that are no UTF-8 become U+FFFD, as they would wherever they are decoded."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
+def unused(names: list[str], want: str) -> str:
+    """want, or with so many underscores behind it that no column is called like it."""
+    taken = {n.lower() for n in names}
+    while want in taken:
+        want += "_"
+    return want
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
@@ -84,7 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(now)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out._stored_at = e._stored_at  # so that dropped() can be called on it
+    return out
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

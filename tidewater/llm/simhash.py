@@ -5,7 +5,8 @@ the histograms of the partitions' values) gives each partition its own threshold
 bits agree to within the threshold in at least one partition, so each fingerprint probes there, and every candidate
 pair is verified on all 64 bits. Equal fingerprints are one row from the first aggregate on; a bucket of many
 different fingerprints is cut into blocks whose pairs are compared cell by cell, so neither a copy group nor a
-bucket meets in one task. A cell hands on a spanning forest of its links, never all pairs.
+bucket meets in one task. A cell hands on a spanning forest of its links, and holds no more of them: a strip of
+comparisons keeps only those that join two parts of the cell that were apart before it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, spanning, stored, text_bytes
+from .common import components, dropped, spanning, stored, text_bytes, unused
 
 #: Rows of one bucket that are compared within one cell: a thousandth of all probes within these bounds. Larger buckets
 #: are cut into blocks of that size.
@@ -216,17 +217,18 @@ def plan(fps: DataFrame, radius: int, halves: int = 1) -> tuple[list[list[int]],
 
 
 def _probes(fps: DataFrame, groups, ts, counts, halves: int) -> DataFrame:
-    """(k, fp[, fp2]): each fingerprint at home, under its own value of each partition with a threshold, and as a visitor at the larger values near it.
+    """(k, and the columns of fps, which begin with the fingerprint): each fingerprint at home, under its own value of each partition with a threshold, and as a visitor at the larger values near it.
 
     k: partition, value, the two blocks of the cell, and 1 for visitors, from the highest bit down.
     """
     held = [near(c, t, True) if t >= 0 else np.zeros(1, np.int64) for c, t in zip(counts, ts, strict=True)]
     block = min(BLOCK_MOST, max(BLOCK, sum(int(h[c > 0].sum()) for h, c in zip(held, counts, strict=True) if len(h) > 1) // 1000))
     blocks = [np.maximum(1, -(-h // block)) for h in held]
+    names = ["k", *fps.columns]
 
     def run(batches):
         for b in batches:
-            fp = _halves(b, 0, halves)
+            fp, columns = _halves(b, 0, halves), [c.to_numpy(zero_copy_only=False) for c in b.columns]
             for part, (bits, t) in enumerate(zip(groups, ts, strict=True)):
                 if t < 0:
                     continue
@@ -237,92 +239,136 @@ def _probes(fps: DataFrame, groups, ts, counts, halves: int) -> DataFrame:
                         rows = np.arange(len(v)) if not r else np.flatnonzero((u > v) & (counts[part][u] > 0))
                         if not len(rows):
                             continue
-                        u, f = u[rows], fp[rows]
+                        u = u[rows]
                         g = blocks[part][u]
-                        own = ((f[:, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
+                        own = ((fp[rows, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
                         at = np.repeat(np.arange(len(u)), g)
                         other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
                         low, high = np.minimum(own[at], other), np.maximum(own[at], other)
                         key = (part << 57) | (u[at] << 41) | (low << 21) | (high << 1) | int(r > 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(f[at, k]).view(np.int64)) for k in range(halves))], names=["k", *_names(halves)])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[rows[at]]) for c in columns)], names=names)
+
+    return fps.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ; the last axis is that of the halves."""
+    out = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    for k in range(1, x.shape[-1]):
+        out = out + np.bitwise_count(x[..., k] ^ y[..., k])
+    return out
 
-    return fps.select(*_names(halves)).mapInArrow(run, ", ".join(f"{c} long" for c in ["k", *_names(halves)]))
 
+def forest(fp: np.ndarray, home: int, radius: int, size: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the pairs within radius of one cell connect, by index; the first `home` rows are compared with all.
 
-def _verified(probes: DataFrame, radius: int, halves: int) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the pairs within radius bits of which one at least is at home."""
+    size: of the rows' sets, growing among the home rows and among the others. Sets of this Jaccard similarity are at most
+    1/similarity times as large as one another, so that a strip of home rows need only be compared with a run of rows.
+    """
+    n, label, i_all, j_all = len(fp), np.arange(len(fp)), [np.zeros(0, int)], [np.zeros(0, int)]
+    joined = np.zeros(n, bool)
+    for at in range(0, home, STRIP):
+        to = min(at + STRIP, home)
+        runs = [(at, home), (home, n)]
+        if size is not None:
+            low, high = size[at] * similarity * (1 - 1e-9), size[to - 1] / similarity * (1 + 1e-9)
+            runs = [(at, int(np.searchsorted(size[:home], high, "right"))), (home + int(np.searchsorted(size[home:], low, "left")), home + int(np.searchsorted(size[home:], high, "right")))]
+        for c, end in ((c, min(c + COLUMNS, last)) for first, last in runs for c in range(first, last, COLUMNS)):
+            hit = apart(fp[at:to, None], fp[None, c:end]) <= radius
+            hit &= label[at:to, None] != label[None, c:end]
+            for i in (np.flatnonzero(hit.any(axis=1)) + at).tolist():
+                j = np.flatnonzero(hit[i - at]) + c
+                j = j[label[j] != label[i]]
+                if not len(j):
+                    continue
+                others, first = np.unique(label[j], return_index=True)
+                i_all.append(np.full(len(first), i))
+                j_all.append(j[first])
+                joined[others] = True
+                label[joined[label]] = label[i]
+                joined[others] = False
+    return np.concatenate(i_all), np.concatenate(j_all)
 
-    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.bitwise_count(x[..., 0] ^ y[..., 0])
-        for k in range(1, halves):
-            out = out + np.bitwise_count(x[..., k] ^ y[..., k])
-        return out
 
-    def pairs(cell: np.ndarray, home: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows come by cell, those at home first: small cells by growing offset over all at once, large ones in strips."""
-        i_all, j_all = [], []
+def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0.0) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the pairs within radius bits of which one at least is at home.
+
+    Rows are named by the column `node`, or by the fingerprint if there is none; with a column `size`, sets that cannot
+    have the similarity are not compared.
+    """
+    names = probes.columns
+    node, sized = names.index("node" if "node" in names else "fp"), "size" in names
+
+    def links(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, size: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows come by cell, those at home first: small cells by growing offset over all at once, large ones each on its own."""
+        i_all, j_all = [np.zeros(0, int)], [np.zeros(0, int)]
         start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        size = np.diff(np.r_[start, len(cell)])
-        left = np.repeat(start + size, size) - np.arange(len(cell)) - 1  # rows of the same cell that follow
-        small = np.repeat(size <= 64, size)
-        idx, k = np.flatnonzero(small & (left > 0) & home), 1
+        each = np.diff(np.r_[start, len(cell)])
+        left = np.repeat(start + each, each) - np.arange(len(cell)) - 1  # rows of the same cell that follow
+        idx, k = np.flatnonzero(np.repeat(each <= 64, each) & (left > 0) & home), 1
         while len(idx):
             hit = idx[apart(fp[idx], fp[idx + k]) <= radius]
+            if size is not None:
+                hit = hit[np.minimum(size[hit], size[hit + k]) >= np.maximum(size[hit], size[hit + k]) * similarity * (1 - 1e-9)]
             i_all.append(hit)
             j_all.append(hit + k)
             k += 1
             idx = idx[left[idx] >= k]
-        for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-            for at in range(s, s + int(home[s : s + n].sum()), STRIP):
-                to = min(at + STRIP, s + int(home[s : s + n].sum()))
-                for c in range(at, s + n, COLUMNS):
-                    i, j = np.nonzero(apart(fp[at:to, None], fp[None, c : min(c + COLUMNS, s + n)]) <= radius)
-                    keep = i + at < j + c
-                    i_all.append(i[keep] + at)
-                    j_all.append(j[keep] + c)
-        return np.concatenate(i_all or [np.zeros(0, int)]), np.concatenate(j_all or [np.zeros(0, int)])
+        for s, n in zip(start[each > 64].tolist(), each[each > 64].tolist(), strict=True):
+            i, j = forest(fp[s : s + n], int(home[s : s + n].sum()), radius, None if size is None else size[s : s + n], similarity)
+            i_all.append(i + s)
+            j_all.append(j + s)
+        return np.concatenate(i_all), np.concatenate(j_all)
 
     def run(batches):
         rest: list[np.ndarray] = []
 
-        def work(k, fp):
-            i, j = pairs(k >> 1, (k & 1) == 0, fp)
-            a, b = spanning(fp[i, 0].view(np.int64), fp[j, 0].view(np.int64))
+        def work(columns):
+            fp = np.stack([x.view(np.uint64) for x in columns[1 : 1 + halves]], axis=1)
+            i, j = links(columns[0] >> 1, (columns[0] & 1) == 0, fp, columns[names.index("size")] if sized else None)
+            a, b = spanning(columns[node][i], columns[node][j])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            now = [b.column(0).to_numpy(zero_copy_only=False), _halves(b, 1, halves)]
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = np.flatnonzero(now[0] >> 1 != now[0][-1] >> 1)
             cut = cut[-1] + 1 if len(cut) else 0
             rest = [x[cut:] for x in now]
             if cut:
-                yield work(*(x[:cut] for x in now))
+                yield work([x[:cut] for x in now])
         if rest and len(rest[0]):
-            yield work(*rest)
+            yield work(rest)
 
-    return probes.repartition(F.shiftright("k", 1)).sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    return probes.repartition(F.shiftright("k", 1)).sortWithinPartitions("k", *["size"][: int(sized)]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, halves: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for every row: documents linked, directly or not, by fingerprints within radius bits.
 
-    halves: 64-bit halves of a fingerprint. With two, documents with the same first half count as the same.
+    halves: 64-bit halves of a fingerprint; with two, radius is of all 128 bits, and the column fp2 follows fp.
 
     component_id is the smallest doc_id reachable. Repeated rows stay, each with its own result row. Empty and null
     texts have fingerprint 0 and link like any other. A row without doc_id links too; its component_id is null only if
-    nothing in its component has an id. An empty table gives an empty result.
+    nothing in its component has an id. Other columns are ignored. An empty table gives an empty result.
     """
+    names = _names(halves)
     fps = stored(fingerprints(docs, id_col, text_col, words, halves), "fps")
-    one = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _names(halves)[1:]]), "distinct")
+    one = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"))
+    # numbers for whole fingerprints, given once and kept, so that they mean the same in all that follows
+    one = stored(one.select("*", F.monotonically_increasing_id().alias("node")) if halves > 1 else one, "distinct")
     if one.isEmpty():
         return fps.withColumn("component_id", F.lit(None).cast("long"))
-    groups, ts, counts = plan(one, radius, halves)
-    links = stored(_verified(_probes(one, groups, ts, counts, halves), radius, halves), "links")
-    rooted = stored(one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+    points, node = one.drop("rep"), "node" if halves > 1 else "fp"
+    links = stored(_verified(_probes(points, *plan(points, radius, halves), halves), radius, halves), "links")
+    connected = components(links)
+    rooted = stored(one.join(connected.withColumnRenamed("node", node), node, "left").select(*names, "rep", F.coalesce("root", node).alias("root")), "roots")
     least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    out = stored(fps.join(rooted.join(least, "root").select(*names, "component_id"), names).select("doc_id", *names, "component_id"), "near")
+    for old in (fps, one, links, connected, rooted, least):
+        dropped(old)
+    return out
 
 
 def candidate_radius(similarity: float, bits: int = 128, deviations: float = 4.0) -> int:
@@ -383,25 +429,31 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
     """The documents without those that have a near duplicate on an earlier row; all columns stay.
 
     Near duplicates: the sets of shingles have at least this Jaccard similarity, counted exactly (shingles are told apart
-    by their XXH64). 128-bit fingerprints of the sets only find the candidates, within candidate_radius() bits; texts of
-    one set are one from the first aggregate on. Candidates that hang together meet in cells of two blocks of sets.
+    by their XXH64), or are linked by others that do. 128-bit fingerprints of the sets only find the candidates, within
+    candidate_radius() bits; texts of one set are one from the first aggregate on. Candidates that hang together meet in
+    cells of two blocks of sets.
+
+    Null texts, empty ones and texts of blanks have the empty set and are one group; a text of fewer words than a shingle
+    has one shingle. Rows without an id, repeated rows and ids are rows like any other. No column name clashes. An empty
+    table gives an empty result.
 
     `docs` is read once: its rows are stored with their numbers, by which what goes is joined against, so that Spark
     broadcasts it if it is small and the texts are shuffled only if it is not.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *names), "numbered")
+    names, rid = [F.col(f"`{c}`") for c in docs.columns], unused(docs.columns, "rid")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias(rid), *names), "numbered")
     radius = candidate_radius(similarity)
 
     def points(batches):
         for b in batches:
-            keys, fps = [], []
+            keys, fps, sizes = [], [], []
             for t in text_bytes(b.column(1)):
                 s = np.unique(shingles(t, words))
                 keys.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
                 fps.append(_majority(s, 2))
+                sizes.append(len(s))
             f = np.array(fps, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(2))], names=["rid", "key", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(2)), pa.array(sizes, pa.int64())], names=["rid", "key", "fp", "fp2", "size"])
 
     def hashes(batches):
         for b in batches:
@@ -409,25 +461,22 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
                 c = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([np.unique(shingles(t, words)).astype("<u8").tobytes() for t in text_bytes(c.column(2))], pa.binary())], names=["root", "rid", "hashes"])
 
-    text = F.col(f"`{text_col}`").cast("string").alias("text")
-    texts = stored(numbered.select(F.col("__rid").alias("rid"), text).mapInArrow(points, "rid long, key binary, fp long, fp2 long"), "texts")
-    one = stored(texts.groupBy("key").agg(*[F.min(c).alias(c) for c in ("rid", "fp", "fp2")]), "distinct")
-    fps = stored(one.select("fp", "fp2").distinct(), "fps")
-    if fps.isEmpty():
+    text = numbered.select(F.col(rid).alias("rid"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = stored(text.mapInArrow(points, "rid long, key binary, fp long, fp2 long, size long"), "texts")
+    one = stored(texts.groupBy("key").agg(*[F.min(c).alias(c) for c in ("fp", "fp2", "rid", "size")]), "distinct")
+    if one.isEmpty():
         return numbered.select(*names)
-    links = stored(_verified(_probes(fps, *plan(fps, radius, 2), 2), radius, 2), "links")
-    near_ones = one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("rid", F.coalesce("root", "fp").alias("root"))
-    near_ones = stored(near_ones, "candidates")
-    crowds = stored(near_ones.groupBy("root").count().where("count > 1").select("root"), "crowds")
-    near_ones = stored(near_ones.join(crowds, "root").select("root", "rid"), "candidates")
-    rows = numbered.select(F.col("__rid").alias("rid"), text).join(near_ones, "rid").select("root", "rid", "text")
-    sets = stored(rows.mapInArrow(hashes, "root long, rid long, hashes binary"), "sets")
-    roots = components(stored(_similar(sets, similarity), "links"))
-    gone = one.select("key", F.col("rid").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
-    gone = stored(texts.select("key", "rid").join(gone, "key").where("rid <> first").select(F.col("rid").alias("__rid")), "gone")
-    for old in (texts, one, fps, links, crowds, near_ones, sets):
+    fps = one.select("fp", "fp2", F.col("rid").alias("node"), "size")
+    links = stored(_verified(_probes(fps, *plan(fps, radius, 2), 2), radius, 2, similarity), "links")
+    crowds = components(links)
+    sets = stored(text.join(crowds.withColumnRenamed("node", "rid"), "rid").select("root", "rid", "text").mapInArrow(hashes, "root long, rid long, hashes binary"), "sets")
+    similar = stored(_similar(sets, similarity), "links")
+    groups = components(similar)
+    gone = one.select("key", F.col("rid").alias("node")).join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
+    gone = stored(texts.select("key", "rid").join(gone, "key").where("rid <> first").select(F.col("rid").alias(rid)), "gone")
+    for old in (texts, one, links, crowds, sets, similar, groups):
         dropped(old)
-    return numbered.join(gone, "__rid", "left_anti").select(*names)
+    return numbered.join(gone, rid, "left_anti").select(*names)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
