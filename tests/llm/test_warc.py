@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyarrow import fs
 
 from tidewater.llm import warc
@@ -54,3 +55,36 @@ def test_archives_roll(spark, monkeypatch):
     df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
     m = warc.write_archives(df)
     assert m.count() > 3 and warc.read_archives(m).select("page_id").distinct().count() == 20
+
+
+def test_very_long_url(spark):
+    rows = [(1, "http://a/" + "é b" * 100_000, "one"), (2, "http://b/", "two")]
+    out = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r.page_id, bytes(r.chunk)) for r in out) == [(1, b"one"), (2, b"two")]
+    assert len(next(r.target_uri for r in out if r.page_id == 1)) == 9 + 100_000 * len("%C3%A9%20b")
+
+
+def foreign():
+    def record(fields, block):
+        return ("\r\n".join(["WARC/1.0", *fields, f"Content-Length: {len(block)}", "", ""])).encode() + block + b"\r\n\r\n"
+
+    http, body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", b"<p>hi</p>" * 200
+    return [
+        record(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: other\r\n"),
+        record(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + hashlib.sha1(body).hexdigest()], http + body),
+        record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/dns", "WARC-Payload-Digest: md5:00"], b"dns answer"),
+        record(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: application/http; msgtype=response", "WARC-Refers-To: <urn:uuid:3>"], http),
+        record(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:6>"], b""),
+    ], body
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_records_of_other_writers(spark, tmp_path, compressed):
+    records, body = foreign()
+    (tmp_path / "a.warc").write_bytes(b"".join(gzip.compress(r) for r in records) if compressed else b"".join(records))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc", 1)], "archive string, bytes long")
+    got = {r.record_id: r for r in warc.read_archives(manifest).collect()}
+    assert [bytes(got[f"<urn:uuid:{i}>"].chunk) for i in range(1, 7)] == [b"software: other\r\n", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", body, b"dns answer", b"", b""]
+    assert all(r.page_id is None and r.last for r in got.values())
+    assert got["<urn:uuid:3>"].declared_sha1 == got["<urn:uuid:3>"].sha1_so_far and got["<urn:uuid:4>"].declared_sha1 is None and got["<urn:uuid:5>"].declared_bytes is None

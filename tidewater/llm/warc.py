@@ -2,13 +2,16 @@
 
 Writing: equal payloads of some size become one response and revisit records that refer to it. A payload reaches the
 writer as chunks and streams into one gzip member per record. Reading: an archive streams through a fixed buffer into
-rows (record id, chunk number, chunk, digest so far), so neither side ever holds a whole record in Python.
+rows (record id, chunk number, chunk, digest so far), so neither side ever holds a whole record in Python. A header is
+held whole, however long its url. Records of other writers and kinds are read as well, compressed or not.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,10 +22,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import dropped, new_path, stored
 
-#: Bytes of a chunk; compressed bytes after which a new archive begins; bytes read at a time; of a header at most.
-CHUNK, ARCHIVE, BUFFER, HEADER = 1 << 20, 64 << 20, 1 << 18, 1 << 16
+#: Bytes of a chunk; compressed bytes after which a new archive begins; bytes read at a time; bytes of archives a reading task.
+CHUNK, ARCHIVE, BUFFER, TASK = 1 << 20, 64 << 20, 1 << 18, 1 << 30
 #: Payloads from this size on are revisited.
 LEAST_REVISITED = 1000
 RECORD = "urn:x-tidewater:page:"
@@ -34,8 +37,9 @@ def record_id(page_id: int | None, sha1: str) -> str:
 
 
 def page_of(urn: str | None) -> int | None:
-    text = urn[len(RECORD) + 1 :].split(":")[0] if urn else ""
-    return int(text) if text else None
+    """The id in a record name of write_archives(); null for other names."""
+    found = re.fullmatch(rf"<{RECORD}(-?\d+):[0-9a-f]{{16}}>", urn or "")
+    return int(found[1]) if found else None
 
 
 def labelled(sha1: str) -> str:
@@ -61,7 +65,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Null payloads are empty, null urls get a urn, control characters and blanks in urls are escaped. Of payloads equal
     in SHA-1 and length, of at least 1000 bytes, rows with the largest id are responses (all of them, if the row is
     repeated) and the others revisits; rows without an id revisit as well, unless none has one. Only archives of tasks
-    that ended are listed: a repeated task writes files of its own.
+    that ended are listed: a repeated task writes files of its own. Other columns are ignored. An empty table gives no
+    archive and an empty manifest.
     """
     spark = pages.sparkSession
     base = new_path(spark, "warc")
@@ -72,9 +77,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     several = stored(large.groupBy("sha1", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").drop("n"), "several")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     p = p.join(several, ["sha1", "size"], "left").withColumn("kind", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / CHUNK).cast("int") - 1, F.lit(0))), lambda i: F.substring("payload", i * CHUNK + 1, F.lit(CHUNK)))
-    chunks = F.when(F.col("kind") == "response", cut).otherwise(F.array(F.lit(b"")))
-    rows = p.select("page_id", "url", "kind", "keep", "size", "sha1", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    # chunk numbers first, chunks after them: the payload is there once, and beside it one chunk at a time
+    last = F.when(F.col("kind") == "response", F.greatest(F.ceil(F.col("size") / CHUNK).cast("int") - 1, F.lit(0))).otherwise(F.lit(0))
+    rows = p.select("page_id", "url", "kind", "keep", "size", "sha1", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    chunk = F.when(F.col("kind") == "response", F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b""))
+    rows = rows.select("page_id", "url", "kind", "keep", "size", "sha1", "chunk_no", chunk.alias("chunk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(base)
@@ -110,40 +117,56 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if out is not None:
             yield listed()
 
-    return stored(rows.mapInArrow(run, "archive string, records long, bytes long"), "manifest")
+    manifest = stored(rows.mapInArrow(run, "archive string, records long, bytes long"), "manifest")
+    dropped(several)
+    return manifest
 
 
 class _Stream:
-    """Bytes of a gzip archive, decompressed as they are asked for, member by member."""
+    """Bytes of an archive as they are asked for, decompressed member by member if they are compressed."""
 
     def __init__(self, raw):
         self.raw, self.held, self.more, self.ended = raw, bytearray(), zlib.decompressobj(31), False
+        self.first = raw.read(BUFFER)
+        self.plain = not self.first.startswith(b"\x1f\x8b")
+
+    def _read(self) -> bytes:
+        out, self.first = self.first or self.raw.read(BUFFER), b""
+        return out
 
     def fill(self) -> bool:
         while not self.ended:
-            data = self.more.unconsumed_tail or (self.more.unused_data if self.more.eof else b"") or self.raw.read(BUFFER)
-            if self.more.eof:
-                self.more = zlib.decompressobj(31)
-            if not data:
-                self.ended = True
-                break
-            if got := self.more.decompress(data, BUFFER):
+            if self.plain:
+                got = self._read()
+                self.ended = not got
+            else:
+                data = self.more.unconsumed_tail or (self.more.unused_data if self.more.eof else b"") or self._read()
+                if self.more.eof:
+                    self.more = zlib.decompressobj(31)
+                if not data:
+                    self.ended = True
+                    break
+                got = self.more.decompress(data, BUFFER)
+            if got:
                 self.held += got
                 return True
         return False
 
-    def until(self, mark: bytes, most: int) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
         """Up to and with the mark; None at the end of the archive."""
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > most:
-                raise ValueError("header too long")
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
             if not self.fill():
                 if self.held:
                     raise ValueError("archive cut off")
                 return None
-        out = bytes(self.held[: at + len(mark)])
-        del self.held[: at + len(mark)]
-        return out
+        return self.take(at + len(mark))
+
+    def begins(self, mark: bytes) -> bool:
+        while len(self.held) < len(mark) and self.fill():
+            pass
+        return self.held.startswith(mark)
 
     def take(self, n: int) -> bytes:
         while len(self.held) < n:
@@ -158,34 +181,53 @@ def _fields(header: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in header.decode("utf-8", "replace").split("\r\n")[1:]) if k}
 
 
+def declared_sha1(label: str | None) -> str | None:
+    """A header's SHA-1 as hex, from base 32 or hex; null for none and for other digests."""
+    kind, _, value = (label or "").partition(":")
+    try:
+        if kind.lower().replace("-", "") == "sha1":
+            return bytes.fromhex(value).hex() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    except (ValueError, binascii.Error):
+        pass
+    return None
+
+
 def records_of(raw, archive: str) -> Iterator[tuple]:
     """Rows of the chunked record table, in the order of the archive."""
     stream = _Stream(raw)
-    while (header := stream.until(b"\r\n\r\n", HEADER)) is not None:
+    while (header := stream.until(b"\r\n\r\n")) is not None:
         f = _fields(header)
-        http = stream.until(b"\r\n\r\n", HEADER)
-        left = int(f["content-length"]) - len(http)
+        left, kind = int(f["content-length"]), f.get("warc-type", "")
+        # an HTTP message's payload comes after its own header; any other block is payload
+        if f.get("content-type", "").lower().startswith("application/http") and left and stream.begins(b"HTTP/"):
+            left -= len(stream.until(b"\r\n\r\n"))
+            if left < 0:
+                raise ValueError(f"{archive}: an HTTP header is longer than its record")
         digest, so_far, chunk_no = hashlib.sha1(), 0, 0
-        declared = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
+        declared, name = declared_sha1(f.get("warc-payload-digest")), f.get("warc-record-id", "")
+        size = int(f["x-payload-length"]) if "x-payload-length" in f else None if kind == "revisit" else left
         while True:
             chunk = stream.take(min(CHUNK, left - so_far))
             digest.update(chunk)
             so_far += len(chunk)
             last = so_far == left
-            yield (archive, f["warc-record-id"], page_of(f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), f.get("warc-refers-to"), chunk_no, chunk, so_far, digest.hexdigest(), last, int(f["x-payload-length"]), declared)
+            yield (archive, name, page_of(name), kind, f.get("warc-target-uri"), f.get("warc-refers-to"), chunk_no, chunk, so_far, digest.hexdigest(), last, size, declared)
             if last:
                 break
             chunk_no += 1
         if stream.take(4) != b"\r\n\r\n":
             raise ValueError(f"{archive}: a record does not end where its length says")
-        if f["warc-type"] == "response" and digest.hexdigest() != declared:
-            raise ValueError(f"{archive}: payload digest differs in {f['warc-record-id']}")
+        if kind == "response" and declared and digest.hexdigest() != declared:
+            raise ValueError(f"{archive}: payload digest differs in {name}")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The chunked record table of the archives listed in `archive`: one row per chunk, in CHUNK_SCHEMA.
 
-    Each archive is one task's stream. A record's digest, length and end are checked against its header.
+    Each archive is a stream in one task; a task has archives of about TASK bytes. A record's length and end are checked
+    against its header, and so is a response's digest if it is a SHA-1. Records that write_archives() did not write have
+    a null page_id; what their headers lack (digest, length of a revisited payload, names) is null or empty. No archive
+    gives no rows.
     """
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
@@ -208,8 +250,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    n = max(1, manifest.count())
-    return manifest.select("archive").repartition(n).mapInArrow(run, CHUNK_SCHEMA)
+    found = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(found[0], max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-found[1] // TASK))))
+    return manifest.select("archive").repartition(tasks).mapInArrow(run, CHUNK_SCHEMA)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
