@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stored
+from .common import BLANKS, dropped, stored, text_of, unused
 
 #: Words of a block, slots of a shard, weights by rank of the source, share of all words that is drawn, passes at most.
 BLOCK, SHARD, WEIGHTS, SHARE, PASSES = 1024, 1024, (3, 1, 2), 1.5, 2
 SEED = 20
+#: So many are drawn one by one.
+FEW = 16
 
 
 def word_count(text: Column) -> Column:
@@ -113,19 +115,38 @@ def plan_source(at: int, name: str | None, size: int, target: float, block: int,
     return SourcePlan(name, size, target, blocks, full * blocks + k, rest - before)
 
 
-def shard_counts(totals: list[int], shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of each source in this shard, slots of each source in the shards before it)."""
+def draw(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among n drawn, without return, from have[i] of each: exact for numbers of any size.
+
+    Each one of them is taken with chance n/total, a binomial draw per kind. What is then taken too much is a draw from
+    those taken, what is too little one from the others; that is about the square root of n, and so on down to a few,
+    which are drawn one by one.
+    """
+    total = int(have.sum())
+    if 2 * n > total:
+        return have - draw(have, total - n, rng)
+    if n <= FEW:
+        out = np.zeros_like(have)
+        for _ in range(n):
+            i = int(np.searchsorted(np.cumsum(have - out), rng.integers(total - int(out.sum())), "right"))
+            out[i] += 1
+        return out
+    out = rng.binomial(have, n / total)
+    short = n - int(out.sum())
+    return out + draw(have - out, short, rng) if short > 0 else out - draw(out, -short, rng)
+
+
+def shard_counts(totals: list[int], shards: int, slots: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in this shard, slots of each source in the shards before it). known: keeps halvings for the next shards."""
     have, before, low, high = np.array(totals, np.int64), np.zeros(len(totals), np.int64), 0, shards
+    known = {} if known is None else known
     while high - low > 1:
         mid = (low + high) // 2
-        n = (mid - low) * slots
-        if have.sum() < 500_000_000:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(have, n, method="marginals")
-        else:  # so many that the draw is its expectation to within rounding
-            exact = have * (n / have.sum())
-            left = np.floor(exact).astype(np.int64)
-            for i in np.argsort(left - exact, kind="stable")[: n - int(left.sum())]:
-                left[i] += 1
+        if (low, high) not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[low, high] = draw(have, (mid - low) * slots, np.random.default_rng([seed, low, high]))
+        left = known[low, high]
         if shard < mid:
             have, high = left, mid
         else:
@@ -142,9 +163,10 @@ def _slots(spark: SparkSession, plans: list[SourcePlan], block: int, seed: int)
 
     def run(batches):
         orders: dict[tuple[int, int], Permutation] = {}
+        known: dict = {}
         for b in batches:
             for shard in b.column(0).to_pylist():
-                counts, before = shard_counts([*totals, pad], shards, SHARD, shard, seed)
+                counts, before = shard_counts([*totals, pad], shards, SHARD, shard, seed, known)
                 s = np.repeat(np.arange(len(plans)), counts[:-1])
                 j = np.concatenate([np.arange(f, f + c) for c, f in zip(counts[:-1], before[:-1], strict=True)] or [np.zeros(0, np.int64)])
                 out_pass, out_block, n = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
@@ -177,12 +199,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Draws the mix. Sources (null is one, the last) go to the driver with their sizes; Spark sizes up their table itself.
 
     A source's documents lie in the order of a hash of id and size, then id, then size; rows equal in these are
-    interchangeable. Empty and null texts have size 0 and are never taken. An empty table gives empty results.
+    interchangeable. Empty and null texts have size 0 and are never taken. Rows without an id and repeated rows are rows
+    like any other. Other columns are ignored. An empty table gives empty results.
 
     number_col: a column with another number for each row, which is then its rid; without it rows are numbered here.
     """
     spark = docs.sparkSession
-    sized = docs.select((F.col(number_col) if number_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select((F.col(f"`{number_col}`") if number_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     sized = stored(sized, "sizes")
     totals = sorted(((r["source"], r["n"], r["size"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([t[2] for t in totals], [weights[i % len(weights)] for i in range(len(totals))])
@@ -193,14 +216,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = sized.join(named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "source")
     else:
         rows = sized.drop("source").withColumn("s", number)
-    # Prefix sums in two steps: within buckets of about the square root of the rows, and over the buckets.
+    # Prefix sums in two steps: within buckets of about the square root of the rows, and over the buckets. Rows with the
+    # same id and size, be they a third of all, are dealt to as many cells and are a row per cell from the first aggregate on.
     n = sum(t[1] for t in totals)
     buckets = max(1, n // max(256, math.isqrt(n)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
-    lengths = rows.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
-    before = lengths.select("s", "bucket", (F.sum("words").over(Window.partitionBy("s").orderBy("bucket")) - F.col("words")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rows = stored(rows.withColumn("inside", inside).join(before, ["s", "bucket"]).select("rid", "doc_id", "s", "size", (F.col("before") + F.col("inside")).alias("start")), "rows")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int"))
+    cells = rows.groupBy("s", "doc_id", "size", "cell").agg(F.collect_list("rid").alias("rids"))
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int")).withColumn("words", F.size("rids") * F.col("size"))
+    inside = F.sum("words").over(Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    cells = stored(cells.withColumn("inside", inside), "cells")
+    lengths = cells.groupBy("s", "bucket").agg(F.sum("words").alias("all"))
+    before = lengths.select("s", "bucket", (F.sum("all").over(Window.partitionBy("s").orderBy("bucket")) - F.col("all")).alias("before"))
+    each = cells.join(before, ["s", "bucket"]).select("doc_id", "s", "size", (F.col("before") + F.col("inside")).alias("first"), F.posexplode("rids").alias("at", "rid"))
+    rows = stored(each.select("rid", "doc_id", "s", "size", (F.col("first") + F.col("at") * F.col("size")).alias("start")), "rows")
+    dropped(sized)
+    dropped(cells)
     at = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     slots = _slots(spark, plans, block, seed)
     first = F.greatest(F.col("start"), F.col("block") * block)
@@ -214,14 +244,19 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """The mix as documents: for each pass over a document of which something is taken, a row with the text taken.
 
     A document taken whole keeps its text as it is; of others each run of words keeps its own blanks, and runs are
-    joined by line feeds. A column n_chars, if there is one, is counted anew; all other columns stay. `docs` is read
-    once: its rows are stored with their numbers, by which the spans are joined to them.
+    joined by line feeds. A column n_chars, if there is one, is counted anew; all other columns stay, and no name
+    clashes. Null and empty texts are never taken, so they have no row. Rows without an id or a source, repeated rows
+    and ids are rows like any other. Bytes that are no UTF-8 count as U+FFFD. An empty table gives an empty result.
+
+    `docs` is read once: its rows are stored with their numbers, by which the spans are joined to them.
     """
     names = docs.columns
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(f"`{c}`") for c in names]), "numbered")
-    m = mix(numbered, text_col=text_col, number_col="__rid", **options)
+    rid, taken = unused(names, "rid"), unused(names, "spans")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias(rid), *[(text_of(f"`{c}`") if c == text_col else F.col(f"`{c}`")).alias(c) for c in names]), "numbered")
+    m = mix(numbered, text_col=text_col, number_col=rid, **options)
     spans = m.spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "first", "n")).alias("spans"))  # a few rows per block of the document
-    joined = numbered.join(spans.withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans"), "__rid").select(*[F.col(f"`{c}`") for c in names], "__spans")
+    spans = spans.select(F.col("rid").alias(rid), F.col("spans").alias(taken))
+    joined = numbered.join(spans, rid).select(*[F.col(f"`{c}`") for c in names], taken)
     schema = joined.select(*[F.col(f"`{c}`") for c in names]).schema
 
     def cut(text: str, spans: list[dict]) -> Iterator[str]:
