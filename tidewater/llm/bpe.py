@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_of
+
 #: Entries of a worker's piece cache (its older half goes when full), and of its memory of token pairs (emptied when full).
 PIECES, PAIRS = 300_000, 250_000
 #: Rows of a batch that are worked on at once.
@@ -261,14 +263,14 @@ def _content(spark: SparkSession, path: str):
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids are packed as little-endian unsigned 32-bit integers.
 
-    Null texts count as empty, and the empty text has no ids; long texts go through in slices of pieces. Repeated rows
-    and ids stay; other columns are ignored; an empty table gives an empty result.
+    Null texts count as empty, and the empty text has no ids; bytes that are no UTF-8 count as U+FFFD; long texts go
+    through in slices of pieces. Repeated rows and ids stay; other columns are ignored; an empty table gives an empty result.
     """
     return _texts(docs, id_col, text_col).mapInArrow(_encoder(path, pattern, _content(docs.sparkSession, path)), "doc_id long, ids binary")
 
@@ -279,13 +281,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """decode(encode(docs)) in one Python worker, without a way through the JVM in between."""
+    """decode(encode(docs)) in one Python worker, without a way through the JVM in between.
+
+    (doc_id, ids, bytes) of every row, under the rules of encode() for nulls, empty and long texts, repeated rows, other
+    columns and empty tables.
+    """
     content = _content(docs.sparkSession, path)
     forth, back = _encoder(path, pattern, content), _decoder(path, content)
     return _texts(docs, id_col, text_col).mapInArrow(lambda batches: back(forth(batches)), "doc_id long, ids binary, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, under the rules of encode()."""
     both = round_trip(docs, path, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

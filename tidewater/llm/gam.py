@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_bytes
+from .common import fold_of, text_bytes, text_of
 
 SAMPLE, BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, RIDGE = 8_000, 32, 8, 120, 40, 6, 0.15, 2.0
 THRESHOLD = 0.3
@@ -163,15 +163,23 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, text) of at most `size` labelled rows: those of `train` (a condition) whose ids hash lowest."""
+    """(doc_id, label, text) of at most `size` labelled documents: those of `train` (a condition) whose ids hash lowest.
+
+    Of documents with the same id one is learned from, that whose text hashes lowest (a null text counts as empty); an
+    id with several labels has the largest. Rows without an id or a label are none.
+    """
     chosen = labels.where(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    # `size` bounds what is broadcast
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    # `size` bounds what is broadcast; a row per id bounds what is joined, and copies meet in a partial aggregate first
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_of(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, size: int = SAMPLE) -> Gam:
-    """Learns `quality` from labelled rows whose crc32 of the id as text is not divisible by `folds`."""
+    """Learns `quality` from at most `size` labelled documents whose crc32 of the id as text is not divisible by `folds`.
+
+    labelled_sample() says which. Other columns are ignored; without labels the model says 0.5 of everything.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, size: int = SAMPLE
 def classify(docs: DataFrame, model: Gam, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text; null and empty texts score as texts without words.
 
+    Bytes that are no UTF-8 are counted as they are.
     Repeated rows and ids each have their own result; other columns are ignored; an empty table gives an empty result.
     """
 
@@ -198,7 +207,10 @@ def classify(docs: DataFrame, model: Gam, folds: int = 5, id_col: str = "doc_id"
 
 
 def quality(model: Gam):
-    """The score as a column function of a text column, for filters."""
+    """The score as a column function of a text column, for filters; a null text scores as an empty one.
+
+    Bytes that are no UTF-8 must have been replaced (text_of()).
+    """
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, fold_of, stored
+from .common import dropped, fold_of, stored, text_of
 from .gam import labelled_sample
 
-#: Labelled documents that are learned from, candidate terms, terms of the lexicon: at most so many.
-SAMPLE, CANDIDATES, TERMS = 12_000, 20_000, 500
+#: Labelled documents that are learned from: at most so many. All terms that they tell are in the lexicon.
+SAMPLE = 12_000
+#: States of an automaton after which it begins anew; terms that a task counts before it hands them on.
+STATES, HELD = 50_000, 400_000
 #: A term is at least so many times as frequent among toxic documents, and explains at least this share of them.
 RATIO, COVER = 30.0, 0.002
 #: What counts as nearly as many; odds of a chance find.
@@ -43,16 +45,21 @@ def normal(token: str) -> str:
 
 
 def edits_of(term: str) -> int:
-    """Tolerated edits by length: none under five letters, one under nine, then two; stems bear one less."""
-    whole = not term.endswith("*")
+    """Tolerated edits by length: whole words none under four letters, one under nine, then two; stems one from five letters on."""
     n = len(term.rstrip("*"))
-    return max(0, (n >= 5) + (n >= 9) - (not whole))
+    return int(n >= 5) if term.endswith("*") else (n >= 4) + (n >= 9)
+
+
+def is_loose(term: str) -> bool:
+    """Whether words within the tolerated edits are mostly others: of stems and of short words."""
+    return term.endswith("*") or len(term) < 5
 
 
 class Automaton:
     """Levenshtein automata of all terms, intersected with their trie, made deterministic state by state.
 
-    look(word) gives (term, edits) of the nearest term, or None. A term that ends in * is a stem: any ending may follow.
+    look(word) gives (term, edits) of the nearest term, or None; of equally near ones that which is not loose, then the first. A term that ends in * is a stem: any ending may follow.
+    The states are forgotten when there are STATES of them; what a word is found to be does not depend on that.
     """
 
     def __init__(self, terms: list[str]):
@@ -71,6 +78,9 @@ class Automaton:
                 node = self.child[node][ch]
                 self.most[node] = max(self.most[node], bound)
             self.term[node][t.endswith("*")] = t
+        self._begin()
+
+    def _begin(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
@@ -110,6 +120,8 @@ class Automaton:
         return to
 
     def look(self, word: str) -> tuple[str, int] | None:
+        if len(self.states) >= STATES:
+            self._begin()
         s = self.start
         for ch in word:
             to = self.steps[s].get(ch)
@@ -121,7 +133,8 @@ class Automaton:
         if nodes or not word:
             for n, e in nodes:
                 t = self.term[n].get(False)
-                if t and e <= edits_of(t) and (best is None or (e, t) < best):
+                # of equally near terms a whole word comes before a stem
+                if t and e <= edits_of(t) and (best is None or (e, is_loose(t), t) < (best[0], is_loose(best[1]), best[1])):
                     best = (e, t)
         return (best[1], best[0]) if best else None
 
@@ -142,7 +155,7 @@ class Hit:
 
     @property
     def kind(self) -> str:
-        return ("exact" if not self.edits else "misspelt") + ("_quoted" if self.quoted else "")
+        return ("exact" if not self.edits else "loose" if is_loose(self.term) else "misspelt") + ("_quoted" if self.quoted else "")
 
 
 class Finder:
@@ -172,7 +185,7 @@ class Finder:
 
 
 #: Share of abuse taken for granted in hits of a kind before any is seen, worth one document of evidence a term.
-PRIOR = {"exact": 0.9, "misspelt": 0.5, "exact_quoted": 0.6, "misspelt_quoted": 0.3}
+PRIOR = {"exact": 0.9, "misspelt": 0.5, "loose": 0.1, "exact_quoted": 0.6, "misspelt_quoted": 0.3, "loose_quoted": 0.05}
 
 
 @dataclass
@@ -212,28 +225,31 @@ def _terms_of(text: str, unquoted: bool = False) -> dict[str, int]:
     return out
 
 
-def _supported(sample: DataFrame) -> DataFrame:
-    """(term, n): in how many different surroundings documents have each term, so that copies of one passage count once."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(term, n, clean): in how many different surroundings toxic documents have each term, so that copies of one passage
+    count once, and how many clean documents have it outside quotations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = list({p for text in b.column(0).to_pylist() for p in _terms_of(text or "").items()})
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["term", "around"])
-
-    return sample.select("text").mapInArrow(run, "term string, around long").distinct().groupBy("term").agg(F.count("*").alias("n"))
-
+        clean: Counter = Counter()
 
-def _documents_with(sample: DataFrame, wanted: frozenset[str]) -> DataFrame:
-    """(term, n): documents with each of the wanted terms outside quotations."""
+        def rows(terms, around, n):
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(around, pa.int64()), pa.array(n, pa.int64())], names=["term", "around", "clean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                count.update(wanted.intersection(_terms_of(text or "", unquoted=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+            pairs = set()
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if label:
+                    pairs.update(_terms_of(text or "").items())
+                else:
+                    clean.update(_terms_of(text or "", unquoted=True).keys())
+                if len(clean) >= HELD:
+                    yield rows(list(clean), [None] * len(clean), list(clean.values()))
+                    clean.clear()
+            yield rows([p[0] for p in pairs], [p[1] for p in pairs], [0] * len(pairs))
+        yield rows(list(clean), [None] * len(clean), list(clean.values()))
 
-    return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = sample.select("label", "text").mapInArrow(run, "term string, around long, clean long")
+    return found.groupBy("term", "around").agg(F.sum("clean").alias("clean")).groupBy("term").agg(F.count("around").alias("n"), F.sum("clean").alias("clean"))
 
 
 def _leanest(support: dict[str, int]) -> list[str]:
@@ -251,7 +267,7 @@ def _leanest(support: dict[str, int]) -> list[str]:
 def _cover(documents: list[set[str]], least: int) -> list[str]:
     """Greedy: the term of most unexplained documents; of those nearly as good a whole word, then the longest stem."""
     left, out = documents, []
-    while left and len(out) < TERMS:
+    while left:
         count = Counter(t for d in left for t in d)
         if not count:
             break
@@ -265,19 +281,22 @@ def _cover(documents: list[set[str]], least: int) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, size: int = SAMPLE) -> Model:
-    """Learns `toxic` from at most `size` labelled rows whose crc32 of the id as text modulo folds is not `held`."""
+    """Learns `toxic` from at most `size` labelled documents whose crc32 of the id as text modulo folds is not `held`.
+
+    labelled_sample() says which; null texts are empty, labels without an id or a value are none, and other columns are
+    ignored. Without toxic documents there are no terms, and without any documents the score is 0.05 for all.
+    """
     sample = stored(labelled_sample(docs, labels, "toxic", fold_of("doc_id", folds) != held, size), "sample")
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = Model()
     if toxic:
         least = max(2, round(COVER * toxic))
-        support = {r["term"]: r["n"] for r in _supported(sample.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-        in_clean = {r["term"]: r["n"] for r in _documents_with(sample.where("label = 0"), frozenset(support)).collect()}
-        telling = {t: n for t, n in support.items() if n / toxic >= RATIO * (in_clean.get(t, 0) + 0.5) / (clean + 1)}
+        rates = F.col("n") / toxic >= RATIO * (F.col("clean") + 0.5) / (clean + 1)
+        telling = {r["term"]: r["n"] for r in _counted(sample).where((F.col("n") >= least) & rates).collect()}  # of the sample's terms
         # so many surroundings that no term of the sample would have them in toxic documents alone by chance
         sure = math.log(CHANCE) / math.log(min(0.5, (toxic + 1) / (toxic + clean + 2)))
-        model.terms = _leanest({t: n for t, n in telling.items() if n >= sure})[:TERMS]
+        model.terms = _leanest({t: n for t, n in telling.items() if n >= sure})
         wanted, sure_terms = frozenset(telling), frozenset(model.terms)
 
         def run(batches):
@@ -313,8 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, siz
 def classify(docs: DataFrame, model: Model, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, hits) of every whole text; hits: (place, term, edits, quoted) of each.
 
-    Null and empty texts have no hits. Repeated rows and ids each have their own result; other columns are ignored; an
-    empty table gives an empty result.
+    Null and empty texts have no hits. Bytes that are no UTF-8 count as U+FFFD. Repeated rows and ids each have their own
+    result; other columns are ignored; an empty table gives an empty result.
     """
     hit = pa.struct([("place", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())])
 
@@ -326,12 +345,15 @@ def classify(docs: DataFrame, model: Model, folds: int = 4, held: int = 2, id_co
             rows = [[{"place": h.place, "term": h.term, "edits": h.edits, "quoted": h.quoted} for h in hs] for hs in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(rows, pa.list_(hit))], names=["doc_id", "held_out", "score", "predicted", "hits"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, hits array<struct<place:int,term:string,edits:int,quoted:boolean>>")
 
 
 def abuse(model: Model):
-    """The score as a column function of a text column, for filters."""
+    """The score as a column function of a text column, for filters; a null text scores as an empty one.
+
+    Bytes that are no UTF-8 must have been replaced (text_of()).
+    """
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(model.terms)
