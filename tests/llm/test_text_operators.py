@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import gam, lattice_lm, mixing, quality_rules, toxicity, url_filter
@@ -31,8 +32,8 @@ def slow_look(terms, word):
         bare = t.rstrip("*")
         d = min(distance(word[:n], bare) for n in range(len(word) + 1)) if t.endswith("*") else distance(word, bare)
         if d <= toxicity.edits_of(t):
-            found.append((d, t))
-    return (min(found)[1], min(found)[0]) if found else None
+            found.append((d, t.endswith("*") or len(t) < 5, t))
+    return (min(found)[2], min(found)[0]) if found else None
 
 
 def test_automaton_against_edit_distance():
@@ -189,7 +190,8 @@ def test_lattice_against_enumeration():
 
 def test_expected_counts_are_the_gradient():
     v, words, weights = toy(), [b"abab", b"aa", "bü".encode()], np.array([2.0, 1.0, 3.0])
-    got = lattice_lm.Lattice(v, v.prior).expected(words, weights)
+    got, like = lattice_lm.Lattice(v, v.prior).expected(words, weights)
+    assert like == pytest.approx(weights @ (lattice_lm.Lattice(v, v.prior).scores(words) * math.log(10)))
     for p in (1, 2, 4, v.byte_of["ü".encode()[0]]):
         up, down = v.prior.copy(), v.prior.copy()
         up[p] *= 1 + 1e-5
@@ -201,13 +203,32 @@ def test_expected_counts_are_the_gradient():
 def test_rounds_raise_the_likelihood_of_training_words(spark):
     v, words, counts = toy(), [b"abab", b"aa", b"ba", b"unseen"], [5, 2, 1, 0]
     table = spark.createDataFrame(list(zip(map(bytearray, words), counts, strict=True)), "word binary, c long").repartition(3)
-    like = []
-    for rounds in range(4):
-        prob = lattice_lm.train(table, 3, v, rounds)
-        assert prob.sum() == pytest.approx(1) and (rounds == 0 or (prob > 0).all())
-        like.append(np.array(counts) @ lattice_lm.Lattice(v, prob).scores(words) + 3 * math.log10(prob[v.end]))
-    assert like[0] < like[1] < like[2] < like[3]
-    assert lattice_lm.train(table.limit(0), 0, v).sum() == pytest.approx(1)
+    prob, like = lattice_lm.train(table, 3, v, 1e-6)
+    assert prob.sum() == pytest.approx(1) and (prob > 0).all() and len(like) > 3 and all(x < y for x, y in itertools.pairwise(like))
+    last = np.array(counts) @ lattice_lm.Lattice(v, prob).scores(words) + 3 * math.log10(prob[v.end])
+    assert last * math.log(10) >= like[-1] and like[-1] - like[-2] <= 1e-6 * -like[-1] < like[-2] - like[-3]
+    assert lattice_lm.train(table.limit(0), 0, v)[0].sum() == pytest.approx(1)
+
+
+def test_long_words_like_short_ones(monkeypatch):
+    v, rng = toy(), random.Random(3)
+    words = ["".join(rng.choices("abü€", k=n)).encode() for n in (1, 5, 60, 61, 150)]
+    short = lattice_lm.Lattice(v, v.prior)
+    scores, (count, like) = short.scores(words), short.expected(words, np.arange(1.0, 6.0))
+    monkeypatch.setattr(lattice_lm, "LONG", 3)
+    monkeypatch.setattr(lattice_lm, "SPAN", 7)
+    assert np.allclose(short.scores(words), scores)
+    count2, like2 = short.expected(words, np.arange(1.0, 6.0))
+    assert np.allclose(count2, count) and like2 == pytest.approx(like)
+
+
+def test_words_are_taken_on_by_bytes(monkeypatch):
+    monkeypatch.setattr(lattice_lm, "TOGETHER", 5)
+    monkeypatch.setattr(lattice_lm, "TOGETHER_BYTES", 20)
+    words = [b"x" * n for n in (3, 3, 3, 50, 1, 1, 1, 1, 1, 1, 19, 2, 18)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(words[a:b], pa.binary())], names=["word"]) for a, b in ((0, 4), (4, 4), (4, 13))]
+    out = [t.column("word").to_pylist() for t in lattice_lm._in_chunks(batches)]
+    assert sum(out, []) == words and all(len(x) <= 5 and (len(x) == 1 or sum(map(len, x)) <= 20) for x in out)
 
 
 def test_language_model(spark, monkeypatch):
