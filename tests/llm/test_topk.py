@@ -23,7 +23,8 @@ def run(spark, rows, every=5, k=4):
 @pytest.mark.parametrize("scale", [1.0, 0.01, 1e7, 1e12])
 def test_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "QUERIES", 7)
-    monkeypatch.setattr(topk, "COLUMN", 40)
+    monkeypatch.setattr(topk, "TILE", 3)
+    monkeypatch.setattr(topk, "ROOT", 4)
     monkeypatch.setattr(topk, "ROWS", 16)
     rng = random.Random(7)
     rows = [(i, [rng.gauss(0, scale) for _ in range(40)]) for i in range(130)]
@@ -35,3 +36,19 @@ def test_few_and_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, [(0, [1.0]), (3, [0.5]), (1, [0.5])]) == [(0, 1, 1, 1024 * 512), (0, 2, 3, 1024 * 512)]
+
+
+def test_rows_are_not_shuffled(spark, monkeypatch):
+    """What is handed on is a few rows per query and task, and columns that clash are ignored."""
+    handed = []
+    stored = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, what: handed.append((what, df, stored(df, what))) or handed[-1][2])
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)], i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long, q long").repartition(4)
+    out = topk.top_k(df, 20, 3)
+    assert sorted(map(tuple, out.collect())) == slow([r[:2] for r in rows], 20, 3)
+    found = [x[1:] for x in handed if x[0] == "found"]
+    assert len(found) == 1 and found[0][1].count() <= 4 * 20 * 4
+    plan = found[0][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1  # this test's own

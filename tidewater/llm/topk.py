@@ -1,72 +1,73 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-The query set and the rows are dealt into a grid of cells (a block of queries, a column of rows), each a stream for
-one task. In a cell the rows come in blocks held vertically, one line per dimension. Scores grow dimension block by
-dimension block; a candidate whose score so far plus the most that the rest can add (the product of what remains of
-both norms) is below its query's k-th best score is dropped, and the survivors are compacted.
+The queries come in blocks of a bounded size; each block is broadcast and the rows are scanned where they lie, in blocks
+held vertically, one line per dimension. Scores grow dimension block by dimension block; a candidate whose score so far
+plus the most that the rest can add (the product of what remains of both norms) is below what its query is known to
+reach is dropped, and the survivors are compacted. Known from the start is the k-th best among one row in ROOT, so that
+tasks hand on little besides the results; that only bounds, and all rows are searched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries of a cell; rows of a column at least, and columns at most; rows and dimensions that are worked on at a time.
-QUERIES, COLUMN, COLUMNS, ROWS, DIMS = 1024, 2048, 1024, 4096, 16
+from .common import dropped, new_path, stored
+
+#: Queries of a block at most, and bytes of their components; queries, rows and dimensions that are worked on at a time.
+QUERIES, QUERY_BYTES, TILE, ROWS, DIMS = 16_384, 16 << 20, 1024, 4096, 16
+#: One row in so many gives the first bounds.
+ROOT = 64
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+FOUND = ["q", "query_id", "itself", "vec_id", "score"]
 
 
-def _scaled(column: pa.Array) -> Iterator[np.ndarray | None]:
-    """floor(1024 x) of each vector, as doubles (whole numbers); None for those that take no part."""
+def _scaled(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places, vectors): floor(1024 x) as doubles (whole numbers) of the rows that take part."""
     values, offsets, valid = column.values, column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
     x = np.floor(1024.0 * values.to_numpy(zero_copy_only=False).astype(np.float64))  # nulls become NaN
-    for i, ok in enumerate(valid.tolist()):
-        v = x[offsets[i] : offsets[i + 1]]
-        yield v if ok and np.isfinite(v).all() else None
+    bad = np.r_[0, np.cumsum(~np.isfinite(x))]
+    at = np.flatnonzero(valid & (bad[offsets[1:]] == bad[offsets[:-1]]))
+    return at, [x[i:j] for i, j in zip(offsets[at].tolist(), offsets[at + 1].tolist(), strict=True)]
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product of whole numbers of any size, held within a long."""
+    return min(max(sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)), LOW), HIGH)
 
 
 class Cell:
-    """The running k best of each query of a cell."""
+    """The running k best rows of each of some queries, of those that reach `least`."""
 
-    def __init__(self, queries: list[tuple[int, int, np.ndarray]], k: int):
-        self.rids, self.ids, self.k = np.array([q[0] for q in queries]), [q[1] for q in queries], k
-        self.dims = max(len(q[2]) for q in queries)
-        self.q = self._matrix([q[2] for q in queries], self.dims)
+    def __init__(self, queries: np.ndarray, k: int, least: np.ndarray):
+        self.q, self.k, self.least, self.dims = queries, k, least.copy(), queries.shape[1]
         self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-        self.least = np.full(len(queries), -np.inf)
+        self.rest = self._rest(queries)
 
     @staticmethod
-    def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
-        """Missing trailing components are 0."""
-        if all(len(v) == dims for v in vectors):
-            return np.array(vectors).reshape(len(vectors), dims)
-        out = np.zeros((len(vectors), dims))
-        for row, v in zip(out, vectors, strict=True):
-            row[: len(v)] = v[:dims]
-        return out
-
-    def take(self, rids: np.ndarray, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
-        x = self._matrix(vectors, self.dims)
+    def _rest(m: np.ndarray) -> np.ndarray:
+        """The norm of what follows, at each dimension."""
+        return np.sqrt(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1])
+
+    def take(self, ids: np.ndarray, x: np.ndarray) -> None:
         most = np.abs(x).max(initial=0) * np.abs(self.q).max(initial=0) * max(self.dims, 1)
         if most >= 2.0**52:
-            return self._take_exactly(rids, ids, x)
+            return self._take_exactly(ids, x)
         vertical = np.ascontiguousarray(x.T)
-        cuts = list(range(0, self.dims, DIMS)) or [0]
-        rest = lambda m: np.sqrt(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1])
-        rest_q, rest_x = rest(self.q), rest(x)
+        rest_x = self._rest(x)
         first = self.q[:, :DIMS] @ vertical[:DIMS]
-        own = self.rids[:, None] == rids[None, :]
         for i in range(len(self.q)):
-            alive, part = np.flatnonzero(~own[i]), None
-            part = first[i, alive]
-            for cut in cuts[1:]:
+            alive, part = np.arange(len(x)), first[i]
+            for cut in range(DIMS, self.dims, DIMS):
                 if self.least[i] > -np.inf:
                     # the margin covers the rounding of the two norms; a tie must survive
-                    keep = part + rest_q[i, cut] * rest_x[alive, cut] * (1 + 1e-9) + 1e-6 >= self.least[i]
+                    keep = np.flatnonzero(part + self.rest[i, cut] * rest_x[alive, cut] * (1 + 1e-9) + 1e-6 >= self.least[i])
                     alive, part = alive[keep], part[keep]
                     if not len(alive):
                         break
@@ -83,17 +84,78 @@ class Cell:
         if len(order) == self.k:
             self.least[i] = score[order[-1]]
 
-    def _take_exactly(self, rids: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+    def _take_exactly(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Components too large for exact doubles: whole numbers of any size, scores held within a long."""
-        whole = [[int(v) for v in row] for row in x.tolist()]
-        for i, q in enumerate(self.q.tolist()):
-            q = [int(v) for v in q]
-            found = [(min(max(sum(a * b for a, b in zip(q, w, strict=True)), LOW), HIGH), int(d)) for w, d, r in zip(whole, ids, rids, strict=True) if r != self.rids[i]]
+        for i, q in enumerate(self.q):
+            found = [(_exact(q, w), int(d)) for w, d in zip(x, ids, strict=True)]
             found += [(int(s), int(d)) for s, d in zip(*self.best[i], strict=True)]
             found = sorted(found, key=lambda f: (-f[0], f[1]))[: self.k]
             self.best[i] = np.array([f[0] for f in found], object), np.array([f[1] for f in found], np.int64)
             if len(found) == self.k:
-                self.least[i] = float(found[-1][0])
+                self.least[i] = max(self.least[i], float(found[-1][0]))
+
+
+def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
+    """Missing trailing components are 0."""
+    if all(len(v) == dims for v in vectors):
+        return np.array(vectors).reshape(len(vectors), dims)
+    out = np.zeros((len(vectors), dims))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v[:dims]
+    return out
+
+
+@dataclass
+class Block:
+    """Some queries: numbers, ids, scores with themselves, components, and what their k best reach at least."""
+
+    number: np.ndarray
+    ids: np.ndarray
+    itself: list[int]
+    vectors: np.ndarray
+    least: np.ndarray
+
+
+def _searched(rows: DataFrame, block, k: int) -> DataFrame:
+    """(q, query_id, itself, vec_id, score): of each task's rows (vec_id, v) the k best for each query of the block that reach its bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Block = block.value
+        cells = [(at, Cell(own.vectors[at : at + TILE], k, own.least[at : at + TILE])) for at in range(0, len(own.ids), TILE)]
+        for b in batches:
+            at, vectors = _scaled(b.column(1))
+            ids = b.column(0).to_numpy(zero_copy_only=False)[at]
+            for s in range(0, len(at), ROWS):
+                x = _matrix(vectors[s : s + ROWS], own.vectors.shape[1])
+                for _, c in cells:
+                    c.take(ids[s : s + ROWS], x)
+        for first, c in cells:
+            q = np.repeat(np.arange(len(c.best)), [len(ids) for _, ids in c.best]) + first
+            if len(q):
+                score = [int(x) for s, _ in c.best for x in s.tolist()]
+                columns = [own.number[q], own.ids[q], [own.itself[i] for i in q.tolist()], np.concatenate([ids for _, ids in c.best]), score]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=FOUND)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
+
+
+def _bounds(sample: DataFrame, block, k: int) -> DataFrame:
+    """(q, least): the score of the k-th best row of a sample, for queries that have one."""
+    best = Window.partitionBy("q").orderBy(F.desc("score"))
+    return _searched(sample, block, k).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("q", F.col("score").alias("least"))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query without its own row.
+
+    Rows that have the query's id and score are alike in the result, so that one of them goes, whichever it was.
+    """
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    twin = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("itself"))
+    found = found.withColumn("twin", twin).withColumn("own", F.col("twin") & ~F.coalesce(F.lag("twin").over(by), F.lit(False)))
+    before = F.sum(F.col("own").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("rank", (F.row_number().over(by) - before).cast("int"))
+    return found.where(~F.col("own") & (F.col("rank") <= k)).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -102,61 +164,38 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
     Score: inner product of floor(1024 x); ties go to the smaller vec_id. Vectors null or holding a null or non-finite
     component take no part, nor do rows without an id. Vectors of unequal length count as filled up with zeros. A
     repeated row is a candidate for its twin, and a repeated query gets rows of its own. Scores beyond a long stop at
-    its bounds. Fewer candidates than k give as many rows; an empty table gives none.
-    """
-    n = vectors.count()
-    columns = max(1, min(COLUMNS, -(-n // COLUMN)))
-    blocks = max(1, -(-n // every // QUERIES))
-
-    def deal(batches):
-        for b in batches:
-            rid, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for r, d, v in zip(rid.tolist(), ids, _scaled(b.column(2)), strict=True):
-                if d is None or v is None:
-                    continue
-                data = v.tobytes()
-                column, block = (r * 0x9E3779B97F4A7C15 >> 20) % columns, (r * 0xBF58476D1CE4E5B9 >> 20) % blocks
-                cells = [(i * columns + column, 1) for i in range(blocks)] + ([(block * columns + c, 0) for c in range(columns)] if d % every == 0 else [])
-                for cell, role in cells:
-                    for to, x in zip(out, (cell, role, r, d, data), strict=True):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["cell", "role", "rid", "vec_id", "v"])
-
-    def search(batches):
-        cell, queries, now = None, [], None
-
-        def ended():
-            if now is None:
-                return
-            rows = [(int(r), int(q), int(d), int(s)) for r, q, (score, ids) in zip(now.rids, now.ids, now.best, strict=True) for s, d in zip(score, ids, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["qrid", "query_id", "vec_id", "score"])
+    its bounds. Fewer candidates than k give as many rows; an empty table gives none. Other columns are ignored.
 
-        for b in batches:
-            c, role, rid, ids = (b.column(x).to_numpy() for x in range(4))
-            data = b.column(4).to_pylist()
-            cuts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (role[1:] != role[:-1]), True])
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if c[s] != cell:
-                    yield from ended()
-                    cell, queries, now = c[s], [], None
-                vs = [np.frombuffer(x) for x in data[s:e]]
-                if role[s] == 0:
-                    queries += zip(rid[s:e].tolist(), ids[s:e].tolist(), vs, strict=True)
-                    continue
-                if queries and now is None:
-                    now = Cell(queries, k)
-                if now is not None:
-                    for at in range(0, e - s, ROWS):
-                        now.take(rid[s + at : min(e, s + at + ROWS)], ids[s + at : min(e, s + at + ROWS)], vs[at : at + ROWS])
-        yield from ended()
-
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    dealt = rows.mapInArrow(deal, "cell long, role int, rid long, vec_id long, v binary").repartition("cell").sortWithinPartitions("cell", "role")
-    found = dealt.mapInArrow(search, "qrid long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    Each block of queries is a pass over the rows, which are not shuffled; of a task at most k + 1 rows a query are.
+    """
+    spark, form = vectors.sparkSession, "vec_id long, v array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    n, dims = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    # a file holds a block at most: what is collected and broadcast at a time is bounded in rows and bytes
+    most = max(1, min(QUERIES, QUERY_BYTES // (8 * max(dims or 1, 1))))
+    dealt = new_path(spark, "queries")
+    queries.repartition(max(1, -(-n // most))).write.option("maxRecordsPerFile", most).parquet(dealt)
+    sample = stored(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(ROOT)) == 0), "sample")
+    passes: list[DataFrame] = []
+    for at, file in enumerate(sorted(spark.read.schema(form).parquet(dealt).inputFiles())):
+        table = spark.read.schema(form).parquet(unquote(file)).toArrow()
+        v = table.column("v")
+        ok, own = _scaled(pa.concat_arrays(v.chunks) if v.num_chunks else pa.array([], pa.list_(pa.float64())))
+        if not len(ok):
+            continue
+        block = Block(at * most + np.arange(len(ok)), table.column("vec_id").to_numpy()[ok], [_exact(x, x) for x in own], _matrix(own, max(map(len, own))), np.full(len(ok), -np.inf))
+        sent = spark.sparkContext.broadcast(block)
+        known = _bounds(sample, sent, k + 1).toArrow()  # a row per query of the block
+        sent.destroy()
+        # one step down, as a long may have been rounded up
+        block.least[known.column("q").to_numpy() - at * most] = np.nextafter(known.column("least").to_numpy().astype(float), -np.inf)
+        sent = spark.sparkContext.broadcast(block)
+        passes.append(stored(_searched(rows, sent, k + 1), "found"))
+        sent.destroy()
+    dropped(sample)
+    form = ", ".join(f"{c} long" for c in FOUND)
+    return _ranked(spark.read.schema(form).parquet(*[p._stored_at for p in passes]) if passes else spark.createDataFrame([], form), k)
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
