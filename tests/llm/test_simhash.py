@@ -133,31 +133,44 @@ def test_equal_first_halves_with_different_second_ones(spark, monkeypatch):
     assert len({r[1] for r in rows}) == 3 < len(set(want)) < len(rows)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
 @pytest.mark.parametrize("sized", [False, True])
-def test_forest_joins_what_all_pairs_join(sized, monkeypatch):
+def test_parts_are_those_of_all_pairs(sized, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "STRIP", 16)
     monkeypatch.setattr(simhash, "COLUMNS", 50)
     rng = np.random.default_rng(7)
     fp = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)[rng.integers(0, 40, 300)]
     for _ in range(6):
         fp[np.arange(300), rng.integers(0, 2, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
-    size = np.r_[np.sort(rng.integers(1, 400, 180)), np.sort(rng.integers(1, 400, 120))]
-    i, j = simhash.forest(fp, 180, 9, size if sized else None, 0.8)
-    near = lambda a, b: int(simhash.apart(fp[a], fp[b])) <= 9 and (not sized or min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
-    must = [(a, b) for a in range(180) for b in range(a + 1, 300) if near(a, b)]
-    parts = joined(300, i, j)
-    assert len(i) == 300 - len(set(parts)) and all(parts[a] == parts[b] for a, b in must)
-    assert all(int(simhash.apart(fp[a], fp[b])) <= 9 for a, b in zip(i, j, strict=True))
+    size = np.r_[np.sort(rng.integers(100, 200, 180)), np.sort(rng.integers(100, 200, 120))]
+    side = rng.integers(0, blocks, 300)
+    before, after = simhash.parts_of(fp, 180, 9, side, size if sized else None, 0.8)
+    near = [(a, b) for a in range(180) for b in range(a + 1, 300) if int(simhash.apart(fp[a], fp[b])) <= 9]
+    must = [(a, b) for a, b in near if not sized or min(size[a], size[b]) >= 0.8 * max(size[a], size[b])]
+    assert all(after[a] == after[b] for a, b in must) and all(before[a] == before[b] for a, b in must if blocks == 2 and side[a] == side[b])
+    parts = joined(300, *zip(*near, strict=True))
+    assert all(len({parts[i] for i in np.flatnonzero(after == x)}) == 1 for x in set(after.tolist()))
+    if blocks == 1:
+        assert before.tolist() == list(range(300))
+    # the links, and those of single blocks, make the whole
+    node = rng.permutation(300) * 10
+    a, b = simhash.stars(node, before, after)
+    at = {x: i for i, x in enumerate(node.tolist())}
+    inside = [(x, y) for x in range(300) for y in range(x) if before[x] == before[y]]
+    links = [(at[x], at[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)] + inside
+    got = joined(300, *zip(*links, strict=True))
+    assert all((got[x] == got[y]) == (after[x] == after[y]) for x in range(300) for y in range(x)) and len(a) == len(set(before.tolist())) - len(set(after.tolist()))
 
 
 def test_dense_bucket_in_bounded_memory():
     fp = np.full((12_000, 1), 12345, np.uint64)
     fp[:, 0] ^= np.uint64(1) << np.arange(12_000, dtype=np.uint64) % np.uint64(64)
     tracemalloc.start()
-    i, _ = simhash.forest(fp, len(fp), 4)
+    before, after = simhash.parts_of(fp, len(fp), 4, np.arange(12_000) % 2)
+    links = simhash.stars(np.arange(12_000), before, after)[0]
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(i) == len(fp) - 1 and most < 200e6  # all pairs would take 1,152 MB
+    assert len(set(after.tolist())) == 1 and len(links) == 1 and most < 200e6  # all pairs would take 1,152 MB
 
 
 def test_very_long_text(spark):

@@ -105,19 +105,17 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the given links: as many rows as it takes to connect what they connect."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (rx := find(x)) != (ry := find(y)):
-            parent[max(rx, ry)] = min(rx, ry)
-            keep.append(i)
-    return a[keep], b[keep]
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of 0..n-1 the least member of its part, if links a-b are all there is."""
+    parent = list(range(n))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    out = np.array(parent, np.int64)
+    while (out[out] != out).any():
+        out = out[out]
+    return out

@@ -5,8 +5,8 @@ the histograms of the partitions' values) gives each partition its own threshold
 bits agree to within the threshold in at least one partition, so each fingerprint probes there, and every candidate
 pair is verified on all 64 bits. Equal fingerprints are one row from the first aggregate on; a bucket of many
 different fingerprints is cut into blocks whose pairs are compared cell by cell, so neither a copy group nor a
-bucket meets in one task. A cell hands on a spanning forest of its links, and holds no more of them: a strip of
-comparisons keeps only those that join two parts of the cell that were apart before it.
+bucket meets in one task. A cell never holds or hands on its pairs, only which parts of it they join: a star per part,
+and of two blocks, whose own parts other cells hand on, just what joins parts of the one to parts of the other.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, spanning, stored, text_bytes, unused
+from .common import components, dropped, roots_of, stored, text_bytes, unused
 
 #: Rows of one bucket that are compared within one cell: a thousandth of all probes within these bounds. Larger buckets
 #: are cut into blocks of that size.
@@ -219,7 +219,8 @@ def plan(fps: DataFrame, radius: int, halves: int = 1) -> tuple[list[list[int]],
 def _probes(fps: DataFrame, groups, ts, counts, halves: int) -> DataFrame:
     """(k, and the columns of fps, which begin with the fingerprint): each fingerprint at home, under its own value of each partition with a threshold, and as a visitor at the larger values near it.
 
-    k: partition, value, the two blocks of the cell, and 1 for visitors, from the highest bit down.
+    k: partition, value, the two blocks of the cell, 1 for visitors, and 1 for rows of the higher block, from the highest
+    bit down.
     """
     held = [near(c, t, True) if t >= 0 else np.zeros(1, np.int64) for c, t in zip(counts, ts, strict=True)]
     block = min(BLOCK_MOST, max(BLOCK, sum(int(h[c > 0].sum()) for h, c in zip(held, counts, strict=True) if len(h) > 1) // 1000))
@@ -245,7 +246,7 @@ def _probes(fps: DataFrame, groups, ts, counts, halves: int) -> DataFrame:
                         at = np.repeat(np.arange(len(u)), g)
                         other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
                         low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-                        key = (part << 57) | (u[at] << 41) | (low << 21) | (high << 1) | int(r > 0)
+                        key = (part << 57) | (u[at] << 41) | (low << 22) | (high << 2) | (int(r > 0) << 1) | (own[at] > low)
                         yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[rows[at]]) for c in columns)], names=names)
 
     return fps.mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -259,39 +260,66 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, home: int, radius: int, size: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the pairs within radius of one cell connect, by index; the first `home` rows are compared with all.
+def parts_of(fp: np.ndarray, home: int, radius: int, side: np.ndarray, size: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after): for each row of a cell the number of the part that pairs within radius join it to; the first `home` rows are compared with all.
 
-    size: of the rows' sets, growing among the home rows and among the others. Sets of this Jaccard similarity are at most
-    1/similarity times as large as one another, so that a strip of home rows need only be compared with a run of rows.
+    side: which of the cell's two blocks a row is of. before: joined by pairs of one block, if there are two (those are
+    another cell's to hand on); after: by all. size: of the rows' sets, growing among the home rows and among the others.
+    Sets of this Jaccard similarity are at most 1/similarity times as large as one another, so that a strip of home rows
+    need only be compared with a run of rows.
     """
-    n, label, i_all, j_all = len(fp), np.arange(len(fp)), [np.zeros(0, int)], [np.zeros(0, int)]
-    joined = np.zeros(n, bool)
-    for at in range(0, home, STRIP):
-        to = min(at + STRIP, home)
-        runs = [(at, home), (home, n)]
-        if size is not None:
-            low, high = size[at] * similarity * (1 - 1e-9), size[to - 1] / similarity * (1 + 1e-9)
-            runs = [(at, int(np.searchsorted(size[:home], high, "right"))), (home + int(np.searchsorted(size[home:], low, "left")), home + int(np.searchsorted(size[home:], high, "right")))]
-        for c, end in ((c, min(c + COLUMNS, last)) for first, last in runs for c in range(first, last, COLUMNS)):
-            hit = apart(fp[at:to, None], fp[None, c:end]) <= radius
-            hit &= label[at:to, None] != label[None, c:end]
-            for i in (np.flatnonzero(hit.any(axis=1)) + at).tolist():
-                j = np.flatnonzero(hit[i - at]) + c
-                j = j[label[j] != label[i]]
-                if not len(j):
-                    continue
-                others, first = np.unique(label[j], return_index=True)
-                i_all.append(np.full(len(first), i))
-                j_all.append(j[first])
-                joined[others] = True
-                label[joined[label]] = label[i]
-                joined[others] = False
-    return np.concatenate(i_all), np.concatenate(j_all)
+    label, joined = np.arange(len(fp)), np.zeros(len(fp), bool)
+
+    def compare(rows: np.ndarray, columns: np.ndarray) -> None:
+        for at in range(0, len(rows), STRIP):
+            i = rows[at : at + STRIP]
+            first, last = at if rows is columns else 0, len(columns)
+            if size is not None and last:
+                low, high = size[i[0]] * similarity * (1 - 1e-9), size[i[-1]] / similarity * (1 + 1e-9)
+                first, last = max(first, int(np.searchsorted(size[columns], low, "left"))), int(np.searchsorted(size[columns], high, "right"))
+            for c in range(first, last, COLUMNS):
+                j = columns[c : min(c + COLUMNS, last)]
+                hit = (apart(fp[i, None], fp[None, j]) <= radius) & (label[i, None] != label[None, j])
+                for x in np.flatnonzero(hit.any(axis=1)).tolist():
+                    others = label[j[hit[x]]]
+                    joined[others] = True
+                    label[joined[label]] = label[i[x]]
+                    joined[others] = False
+
+    at = np.arange(len(fp))
+    (h0, v0), (h1, v1) = ((np.flatnonzero((side == s) & (at < home)), np.flatnonzero((side == s) & (at >= home))) for s in (0, 1))
+    if not len(h1) + len(v1):
+        compare(h0, h0)
+        compare(h0, v0)
+        return at, label
+    for h, v in ((h0, v0), (h1, v1)):
+        compare(h, h)
+        compare(h, v)
+    before = label.copy()
+    compare(h0, h1)
+    compare(h0, v1)
+    compare(h1, v0)
+    return before, label
+
+
+def stars(node: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that make the parts `after` of the parts `before`, each part named by its least node: all to the least one.
+
+    The same least node in many cells gives the same links, which the first aggregate makes one.
+    """
+    old, own = np.unique(before, return_inverse=True)
+    name, whole = np.full(len(old), np.iinfo(np.int64).max), np.zeros(len(old), np.int64)
+    np.minimum.at(name, own, node)
+    whole[own] = after
+    new, at = np.unique(whole, return_inverse=True)
+    least = np.full(len(new), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, name)
+    other = name != least[at]
+    return least[at][other], name[other]
 
 
 def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0.0) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the pairs within radius bits of which one at least is at home.
+    """(a, b): cell by cell, links that connect what the pairs within radius bits connect of which one at least is at home.
 
     Rows are named by the column `node`, or by the fingerprint if there is none; with a column `size`, sets that cannot
     have the similarity are not compared.
@@ -299,11 +327,9 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
     names = probes.columns
     node, sized = names.index("node" if "node" in names else "fp"), "size" in names
 
-    def links(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, size: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows come by cell, those at home first: small cells by growing offset over all at once, large ones each on its own."""
+    def small(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, size: np.ndarray | None, each: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Parts of the small cells, all at once by growing offset."""
         i_all, j_all = [np.zeros(0, int)], [np.zeros(0, int)]
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        each = np.diff(np.r_[start, len(cell)])
         left = np.repeat(start + each, each) - np.arange(len(cell)) - 1  # rows of the same cell that follow
         idx, k = np.flatnonzero(np.repeat(each <= 64, each) & (left > 0) & home), 1
         while len(idx):
@@ -314,26 +340,28 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
             j_all.append(hit + k)
             k += 1
             idx = idx[left[idx] >= k]
+        return roots_of(len(cell), np.concatenate(i_all), np.concatenate(j_all))
+
+    def work(columns: list[np.ndarray]) -> pa.RecordBatch:
+        cell, home, side = columns[0] >> 2, (columns[0] & 2) == 0, columns[0] & 1
+        fp, size = np.stack([x.view(np.uint64) for x in columns[1 : 1 + halves]], axis=1), columns[names.index("size")] if sized else None
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        each = np.diff(np.r_[start, len(cell)])
+        before, after = np.arange(len(cell)), small(cell, home, fp, size, each, start)
         for s, n in zip(start[each > 64].tolist(), each[each > 64].tolist(), strict=True):
-            i, j = forest(fp[s : s + n], int(home[s : s + n].sum()), radius, None if size is None else size[s : s + n], similarity)
-            i_all.append(i + s)
-            j_all.append(j + s)
-        return np.concatenate(i_all), np.concatenate(j_all)
+            own = slice(s, s + n)
+            b, a = parts_of(fp[own], int(home[own].sum()), radius, side[own], None if size is None else size[own], similarity)
+            before[own], after[own] = b + s, a + s
+        a, b = stars(columns[node], before, after)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
         rest: list[np.ndarray] = []
-
-        def work(columns):
-            fp = np.stack([x.view(np.uint64) for x in columns[1 : 1 + halves]], axis=1)
-            i, j = links(columns[0] >> 1, (columns[0] & 1) == 0, fp, columns[names.index("size")] if sized else None)
-            a, b = spanning(columns[node][i], columns[node][j])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         for b in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = np.flatnonzero(now[0] >> 1 != now[0][-1] >> 1)
+            cut = np.flatnonzero(now[0] >> 2 != now[0][-1] >> 2)
             cut = cut[-1] + 1 if len(cut) else 0
             rest = [x[cut:] for x in now]
             if cut:
@@ -341,7 +369,7 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
         if rest and len(rest[0]):
             yield work(rest)
 
-    return probes.repartition(F.shiftright("k", 1)).sortWithinPartitions("k", *["size"][: int(sized)]).mapInArrow(run, "a long, b long")
+    return probes.repartition(F.shiftright("k", 2)).sortWithinPartitions(F.shiftright("k", 1), *["size"][: int(sized)]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, halves: int = 1) -> DataFrame:
@@ -377,10 +405,10 @@ def candidate_radius(similarity: float, bits: int = 128, deviations: float = 4.0
     return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def alike(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sets of at least this Jaccard similarity; if there are two blocks, of sets of different ones."""
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets of at least this Jaccard similarity; of a cell, so at most some 500 sets."""
     m, size = len(sets), np.array(list(map(len, sets)), np.int64)
-    apart, i_all, j_all = len(np.unique(block)) > 1, [np.zeros(0, int)], [np.zeros(0, int)]
+    i_all, j_all = [np.zeros(0, int)], [np.zeros(0, int)]
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     held = every[order]
@@ -395,8 +423,6 @@ def alike(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple
         both = np.bincount(owner[np.arange(n.sum()) + np.repeat(start[u] - np.cumsum(n) + n, n)], minlength=m)
         found = both / np.maximum(size[i] + size - both, 1) >= similarity
         found[: i + 1] = False
-        if apart:
-            found &= block != block[i]
         j = np.flatnonzero(found)
         i_all.append(np.full(len(j), i))
         j_all.append(j)
@@ -404,7 +430,7 @@ def alike(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple
 
 
 def _similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the pairs of the same `root` whose shingle sets are similar; sets: (root, rid, hashes)."""
+    """(a, b): cell by cell, links that connect what the pairs of the same `root` with similar shingle sets connect; sets: (root, rid, hashes)."""
     n = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
     g = stored(n.where("n > 1").select("root", F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("g")), "blocks")
     own = F.pmod(F.xxhash64("rid"), F.col("g")).cast("int")
@@ -412,9 +438,12 @@ def _similar(sets: DataFrame, similarity: float) -> DataFrame:
     cells = cells.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rid", "hashes")
 
     def work(own: list[int], rid: list[int], hashes: list[bytes]) -> pa.RecordBatch:
-        i, j = alike([np.frombuffer(x, "<u8") for x in hashes], np.array(own), similarity)
-        rid = np.array(rid, np.int64)
-        a, b = spanning(rid[i], rid[j])
+        i, j = alike([np.frombuffer(x, "<u8") for x in hashes], similarity)
+        own, rid, before = np.array(own), np.array(rid, np.int64), np.arange(len(rid))
+        if len(np.unique(own)) > 1:  # what is of one block is another cell's to hand on
+            inside = own[i] == own[j]
+            before = roots_of(len(rid), i[inside], j[inside])
+        a, b = stars(rid, before, roots_of(len(rid), i, j))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
