@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +46,20 @@ def _json_value(v):
         return v.isoformat(timespec="milliseconds") + ("" if v.tzinfo is None else "Z" if v.utcoffset() == datetime.timedelta(0) else "")
     if isinstance(v, datetime.date):
         return v.isoformat()
-    if isinstance(v, decimal.Decimal):
-        return float(v)
     return v
 
 
+def statistics_json(stats: dict) -> str:
+    """As the log has them: decimals are numbers with all their digits, which a double would round."""
+    mark = uuid.uuid4().hex
+    return re.sub(f'"{mark}([^"]*)"', r"\1", json.dumps(stats, default=lambda v: f"{mark}{v:f}"))
+
+
+def statistics_of(add: dict) -> dict:
+    """An add action's statistics, numbers with a point as decimals."""
+    return json.loads(add.get("stats") or "{}", parse_float=decimal.Decimal)
+
+
 def footer_statistics(path: str) -> dict:
     """numRecords, minValues, maxValues and nullCount of a Parquet file, from its footer alone."""
     import pyarrow.parquet as pq
@@ -124,7 +134,7 @@ def stage(spark: SparkSession, store: Store, df: DataFrame, fields: T.StructType
     adds = []
     for e in found:
         if stats[e.path]["numRecords"]:
-            adds.append({"path": in_log(e.path), "partitionValues": _partition_values(e.path, [named[c] for c in partitions]), "size": e.size, "modificationTime": modified, "dataChange": change, "stats": json.dumps(stats[e.path])})
+            adds.append({"path": in_log(e.path), "partitionValues": _partition_values(e.path, [named[c] for c in partitions]), "size": e.size, "modificationTime": modified, "dataChange": change, "stats": statistics_json(stats[e.path])})
         else:
             store.delete(e.path)
     return adds
@@ -137,11 +147,11 @@ def _statistics(spark: SparkSession, store: Store, paths: list[str]) -> dict[str
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"path": f.path, "stats": [json.dumps(footer_statistics(arrow_uri(f"{root}/{p}"))) for p in f.path]})
+            yield pd.DataFrame({"path": f.path, "stats": [statistics_json(footer_statistics(arrow_uri(f"{root}/{p}"))) for p in f.path]})
 
     tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks).mapInPandas(run, "path string, stats string").collect()
-    return {r["path"]: json.loads(r["stats"]) for r in rows}
+    return {r["path"]: statistics_of({"stats": r["stats"]}) for r in rows}
 
 
 def _file_key(c: Column) -> Column:
@@ -155,33 +165,56 @@ def file_url(store: Store, add: dict) -> str:
     return re.sub("^file:/+", "file:/", store.jvm.org.apache.hadoop.fs.Path(at).toUri().toString())
 
 
-def deleted_rows(spark: SparkSession, store: Store, adds: list[dict]) -> DataFrame:
-    """(file, row) of every deleted row; executors read the vectors."""
+def is_live(spark: SparkSession, store: Store, adds: list[dict]):
+    """A column function of (file, row): whether a row of one of these files is not deleted.
+
+    Each task looks rows up in the vector of the file it reads, so that no row moves. What travels is the files'
+    descriptors, which the snapshot has on the driver anyway.
+    """
     root = arrow_uri(store.root)
-    rows = [(file_url(store, a), store.url(on_disk(a["path"])), json.dumps(a["deletionVector"]), json.loads(a.get("stats") or "{}").get("numRecords")) for a in adds]
+    said = spark.sparkContext.broadcast({file_url(store, a): (store.url(on_disk(a["path"])), a["deletionVector"], statistics_of(a).get("numRecords")) for a in adds})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vector(file: str) -> np.ndarray:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        store_, base = fs.FileSystem.from_uri(root)
-        for f in frames:
-            for file, path, said, n in f.itertuples(index=False):
-                gone = dv.rows_of(json.loads(said), lambda p: store_.open_input_stream(f"{base}/{p}").readall())
-                own, at = fs.FileSystem.from_uri(arrow_uri(path))
-                have = pq.read_metadata(at, filesystem=own).num_rows
-                if (n == n and n is not None and int(n) != have) or (len(gone) and gone[-1] >= have):
-                    raise DeltaError(f"{path}: the log and the file disagree on the number of rows")
-                yield pd.DataFrame({"file": file, "row": gone})
-
-    tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(rows, "file string, path string, dv string, n long").repartition(tasks).mapInPandas(run, "file string, row long")
+        path, descriptor, n = said.value[file]
+        own, base = fs.FileSystem.from_uri(root)
+        gone = dv.rows_of(descriptor, lambda p, at, size: _read_at(own, f"{base}/{p}", at, size))
+        own, at = fs.FileSystem.from_uri(arrow_uri(path))
+        have = pq.read_metadata(at, filesystem=own).num_rows
+        if (n is not None and int(n) != have) or (len(gone) and gone[-1] >= have):
+            raise DeltaError(f"{path}: the log and the file disagree on the number of rows")
+        return gone
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        file, gone = None, None
+        for files, rows in batches:
+            out, at = np.ones(len(files), bool), rows.to_numpy(np.int64)
+            names = files.to_numpy()
+            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if names[i] != file:
+                    file, gone = names[i], vector(names[i])
+                found = np.searchsorted(gone, at[i:j])
+                out[i:j] = (found == len(gone)) | (gone[np.minimum(found, len(gone) - 1)] != at[i:j]) if len(gone) else True
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, "boolean")
+
+
+def _read_at(store, path: str, at: int, size: int) -> bytes:
+    with store.open_input_file(path) as f:
+        f.seek(at)
+        return f.read(size)
 
 
 def scan(spark: SparkSession, store: Store, s: Snapshot, adds: list[dict], places: bool = False, extra: T.StructType | None = None) -> DataFrame:
     """Rows of the files, without deleted ones, under the snapshot's logical schema.
 
-    places: also __file and __row of each row. extra: further columns that the files have.
+    places: also __file and __row of each row. extra: further columns that the files have. Reading a table that maps
+    columns by id switches spark.sql.parquet.fieldId.read.enabled on for the session, as Spark has no such reader option;
+    it stays on, for frames are read later, and does nothing to schemas without ids.
     """
     schema, mode = s.schema, mode_of(s)
     extra = extra or T.StructType()
@@ -199,10 +232,7 @@ def scan(spark: SparkSession, store: Store, s: Snapshot, adds: list[dict], place
         if places or any("deletionVector" in a and a["deletionVector"] for a in some) or values_by_join:
             df = df.select("*", _file_key(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row"))
         gone = [a for a in some if a.get("deletionVector")]
-        if gone:
-            d = deleted_rows(spark, store, gone)
-            df = df.join(d, (F.col("__file") == d["file"]) & (F.col("__row") == d["row"]), "left_anti")
-        return df
+        return df.where(is_live(spark, store, gone)("__file", "__row")) if gone else df
 
     def logical(df: DataFrame, value_of) -> DataFrame:
         out = []
@@ -253,7 +283,7 @@ def conjuncts(spark: SparkSession, sql: str) -> list[tuple[str, str, object]]:
         if kind == "string":
             return v.toString() if v is not None else None
         if kind.startswith("decimal"):
-            return float(v.toString())
+            return decimal.Decimal(v.toString())
         return v if isinstance(v, int | float) and not isinstance(v, bool) and kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
 
     def walk(e) -> None:
@@ -272,10 +302,34 @@ def conjuncts(spark: SparkSession, sql: str) -> list[tuple[str, str, object]]:
     return out
 
 
+def _partition_number(held: str, kind: T.DataType):
+    """A partition value as a number; None for what is none. NaN is above all numbers, as it is for Spark."""
+    try:
+        if isinstance(kind, T.IntegralType):
+            return int(held)
+        if isinstance(kind, T.DecimalType):
+            return decimal.Decimal(held)
+        out = float(np.float32(held)) if isinstance(kind, T.FloatType) else float(held)
+    except (ValueError, decimal.InvalidOperation):
+        return None
+    return math.inf if out != out else out
+
+
+def _comparable(v, low, high, kind: T.DataType) -> tuple | None:
+    """(value, low, high) as Spark compares them: text as bytes, numbers exactly, but as doubles if either side is one; None: not compared here."""
+    if isinstance(kind, T.StringType):
+        return (v.encode(), low.encode(), high.encode()) if all(isinstance(x, str) for x in (v, low, high)) else None
+    if not isinstance(kind, T.NumericType) or any(isinstance(x, bool) or not isinstance(x, int | float | decimal.Decimal) for x in (v, low, high)):
+        return None
+    if isinstance(v, float) or isinstance(kind, T.FloatType | T.DoubleType):
+        return float(v), float(low), float(high)
+    return v, low, high
+
+
 def may_match(s: Snapshot, add: dict, tests: list[tuple[str, str, object]]) -> bool:
     """False only if no row of the file can satisfy all tests; without statistics: True."""
     fields, mode = {f.name.lower(): f for f in s.schema.fields}, mode_of(s)
-    stats = json.loads(add.get("stats") or "{}")
+    stats = statistics_of(add)
     for name, op, v in tests:
         f = fields.get(name.lower())
         if f is None:
@@ -289,12 +343,7 @@ def may_match(s: Snapshot, add: dict, tests: list[tuple[str, str, object]]) -> b
                 continue
             if held is None:
                 return False
-            if isinstance(f.dataType, T.StringType) and isinstance(v, str):
-                low = high = held
-            elif isinstance(f.dataType, T.IntegralType | T.FloatType | T.DoubleType) and not isinstance(v, str):
-                low = high = float(held) if "." in held else int(held)
-            else:
-                continue
+            low = high = held if isinstance(f.dataType, T.StringType) else _partition_number(held, f.dataType)
         else:
             nulls, n = stats.get("nullCount", {}).get(at), stats.get("numRecords")
             if op == "IsNull":
@@ -306,10 +355,9 @@ def may_match(s: Snapshot, add: dict, tests: list[tuple[str, str, object]]) -> b
             if op == "IsNotNull":
                 continue
             low, high = stats.get("minValues", {}).get(at), stats.get("maxValues", {}).get(at)
-            if low is None or high is None or isinstance(low, str) != isinstance(v, str) or not isinstance(low, int | float | str) or not isinstance(f.dataType, T.NumericType | T.StringType):
-                continue
-        if isinstance(v, str):  # as bytes, like Spark
-            low, high, v = low.encode(), high.encode(), v.encode()
+        if (known := _comparable(v, low, high, f.dataType)) is None:
+            continue
+        v, low, high = known
         if op == "=" and not low <= v <= high or op == "<" and not low < v or op == "<=" and not low <= v or op == ">" and not high > v or op == ">=" and not high >= v:
             return False
     return True

@@ -86,15 +86,27 @@ class Store:
                 return False
             finally:
                 os.unlink(draft)
+        # a draft renamed: readers see the whole file or none. Where renaming onto a file is refused (HDFS and the like) one
+        # writer wins; a store that would replace it needs a commit service of its own.
+        draft, to = self._path(f"{relative}.{uuid.uuid4().hex}.tmp"), self._path(relative)
+        out = self.fs.create(draft, False)
+        out.write(bytearray(data))
+        out.close()
         try:
-            out = self.fs.create(self._path(relative), False)
+            return not self.fs.exists(to) and bool(self.fs.rename(draft, to))
         except Exception as e:
             if "FileAlreadyExists" in str(e):
                 return False
             raise
+        finally:
+            if self.fs.exists(draft):
+                self.fs.delete(draft, False)
+
+    def replace(self, relative: str, data: bytes) -> None:
+        """Writes a file, in the place of one that is there."""
+        out = self.fs.create(self._path(relative), True)
         out.write(bytearray(data))
         out.close()
-        return True
 
     def delete(self, relative: str) -> None:
         self.fs.delete(self._path(relative), False)

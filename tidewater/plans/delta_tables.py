@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from datetime import timedelta
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..delta import ConstraintViolation, DeltaTable
+from ..delta import ConstraintViolation, DeltaError, DeltaTable
 from ..sources import MEMORY, read, write
 from .catalog import query, table
 
@@ -21,7 +22,11 @@ FULL_FEED = {"delta.enableDeletionVectors": "true", "delta.enableChangeDataFeed"
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors see."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='tidewater-')}/table-{uuid.uuid4().hex}"
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+    return f"{named.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def orders(spark, sf) -> DataFrame:
@@ -33,11 +38,11 @@ def made(spark, df: DataFrame, partition_by: list[str] = (), properties: dict[st
     return DeltaTable.create(spark, scratch(spark), schema, list(partition_by), properties, rows=df)
 
 
-@query(f"SELECT * FROM {ORDERS} WHERE o_orderkey % 3 < 2")
+@query(f"SELECT * FROM {ORDERS}")
 def delta_append(spark, sf):
     path, rows = scratch(spark), orders(spark, sf)
     write(rows.where("o_orderkey % 3 = 0"), path, "delta")
-    write(rows.where("o_orderkey % 3 = 1"), path, "delta", "append")
+    write(rows.where("o_orderkey % 3 <> 0"), path, "delta", "append")
     return read(spark, path, "delta")
 
 
@@ -229,6 +234,50 @@ def delta_file_skipping(spark, sf):
     return t.read(where=where).withColumn("skipped", F.lit(len(t.skipped(s, where)) < len(s.adds) / 3))
 
 
+@query("""SELECT * FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) + 1152921504606846 AS price, CAST(o_orderkey AS BIGINT) + 9007199254740992 AS n FROM orders)
+    WHERE price > 1152921504706846.0 AND n > 9007199254740993.0 AND NOT (price > 1152921504806846.07 OR n = 9007199254741024.0)""")
+def delta_file_skipping_decimal(spark, sf):
+    """Bounds and literals with more digits than a double has: files are skipped for reading, and then for DELETE."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 1152921504606846 AS DECIMAL(20,2)) AS price", "CAST(o_orderkey AS BIGINT) + 9007199254740992 AS n")
+    t = made(spark, rows.repartitionByRange(6, "price"), properties={"delta.enableDeletionVectors": "true"})
+    t.delete("price > 1152921504806846.07")
+    t.delete("n = 9007199254741024.0")
+    return t.read(where="price > 1152921504706846.0 AND n > 9007199254740993.0").withColumn("price", F.col("price").cast("decimal(21,2)"))
+
+
+@query(f"SELECT * FROM {ORDERS} WHERE o_orderkey % 2 = 0")
+def delta_timestamp_suffix(spark, sf):
+    path, rows = scratch(spark), orders(spark, sf)
+    write(rows.where("o_orderkey % 2 = 0"), path, "delta")
+    write(rows.where("o_orderkey % 2 = 1"), path, "delta", "append")
+    t = DeltaTable(spark, path)
+    for v, ms in ((0, 1_600_000_000_000), (1, 1_600_000_100_000)):
+        t.store.touch(f"_delta_log/{v:020d}.json", ms)
+    return read(spark, f"{path}@20200913122730", "delta")
+
+
+@query("SELECT n_nationkey, n_name, 'refused' AS said FROM nation")
+def delta_schema_enforced(spark, sf):
+    """Rows with a column or a type that the table does not have are refused, and nothing of them stays."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    t, said = made(spark, rows), "refused"
+    for bad in (rows.withColumn("more", F.lit(1)), rows.withColumn("n_nationkey", F.col("n_name"))):
+        try:
+            t.append(bad)
+            said = "taken"
+        except Exception as e:
+            said = said if isinstance(e, DeltaError) else str(e)
+    return t.read().withColumn("said", F.lit(said))
+
+
+@query("SELECT n_nationkey, 'delete' AS change, CAST(2 AS BIGINT) AS version FROM nation WHERE n_regionkey = 1")
+def delta_cdf_enabled_later(spark, sf):
+    t = made(spark, table(spark, sf, "nation"), properties={"delta.enableDeletionVectors": "true"})
+    t.set_properties({"delta.enableChangeDataFeed": "true"})
+    t.delete("n_regionkey = 1")
+    return t.changes(2).select("n_nationkey", F.col("_change_type").alias("change"), F.col("_commit_version").alias("version"))
+
+
 @query("SELECT count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
 def delta_statistics(spark, sf):
     """Counted from the log alone."""
