@@ -359,3 +359,125 @@ def test_toxicity_of_slurs_that_clean_documents_quote(spark):
     m = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert any("grumpotted".startswith(t.rstrip("*")) for t in m.terms)
     assert all(r.predicted == int(r.doc_id % 6 == 0) for r in toxicity.classify(d, m).collect())
+
+
+# --- whole results against brute force ------------------------------------------------------------------------------
+
+
+def test_mix_against_brute_force(spark):
+    """The documented order of documents, block by block, until a source's target is met; a third of the rows equal in id and size."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{k}" for k in range(rng.choice([0, 1, 5, 60, 300]))), rng.choice(["b", "a", None])) for i in range(60)] + [(None, "x y z", "a")] * 30 + [(7, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: mixing.F.lit(9) for c in ("rid", "size", "s", "start", "cell", "bucket", "rids", "words")})
+    block, seed, n = 32, 5, len(rows)
+    m = mixing.mix(docs, block=block, seed=seed)
+    taken = m.spans.groupBy("rid").agg(mixing.F.sum("n").alias("n"))
+    got = Counter(tuple(r) for r in m.rows.join(taken, "rid", "left").select("doc_id", "s", "size", mixing.F.coalesce("n", mixing.F.lit(0))).collect())
+
+    buckets = max(1, n // max(256, math.isqrt(n)))
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(count(t) for _, t, x in rows if x == name) for name in names]
+    hashed = spark.createDataFrame([(d, count(t)) for d, t, _ in rows], "doc_id long, size long").selectExpr("doc_id", "size", f"pmod(xxhash64(doc_id, size), {buckets}) AS h").distinct().collect()
+    bucket = {(r.doc_id, r["size"]): r.h for r in hashed}
+    want = Counter()
+    for s, (name, goal) in enumerate(zip(names, mixing.targets(sizes, [3, 1, 2]), strict=True)):
+        own = sorted(((d, count(t)) for d, t, x in rows if x == name), key=lambda r: (bucket[r], r[0] is not None, r[0] or 0, r[1]))
+        line = [i for i, (_, size) in enumerate(own) for _ in range(size)]
+        left, used, j, blocks = round(goal), Counter(), 0, -(-len(line) // block)
+        while left:
+            at = int(mixing.Permutation(blocks, (seed, s, j // blocks))(np.array([j % blocks]))[0])
+            words = line[at * block : at * block + min(block, left)]
+            used.update(words)
+            left, j = left - len(words), j + 1
+        want.update((d, s, size, used[i]) for i, (d, size) in enumerate(own))
+    assert got == want
+
+
+def test_draw_is_the_hypergeometric_one():
+    have, n, trials = np.array([30, 5, 15]), 22, 4000
+    drawn = np.array([mixing.draw(have, n, np.random.default_rng([1, i])) for i in range(trials)])
+    assert (drawn.sum(axis=1) == n).all() and (drawn >= 0).all() and (drawn <= have).all()
+    p = have / have.sum()
+    sd = np.sqrt(n * p * (1 - p) * (have.sum() - n) / (have.sum() - 1))
+    assert np.allclose(drawn.mean(axis=0), n * p, atol=5 * sd.max() / math.sqrt(trials)) and np.allclose(drawn.std(axis=0), sd, rtol=0.1)
+    huge = np.array([6 * 10**14, 10**6, 4 * 10**14])
+    out = mixing.draw(huge, 3 * 10**14, np.random.default_rng(4))
+    q = huge / huge.sum()
+    assert out.sum() == 3 * 10**14 and (abs(out - 3e14 * q) <= 6 * np.sqrt(3e14 * q * (1 - q) * 0.7)).all() and (out != np.round(3e14 * q)).any()
+
+
+def test_language_model_against_brute_force(spark, monkeypatch):
+    """Counts, rounds and scores in plain loops: every segmentation of a word with its weight, no forward or backward pass."""
+    v = toy()
+    monkeypatch.setattr(lattice_lm.Vocabulary, "from_model", classmethod(lambda cls, path: v))
+    monkeypatch.setattr(lattice_lm, "FREQUENT", 2)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("aAbü", k=rng.randint(1, 4))) for _ in range(i % 6))) for i in range(30)] + [(4, None), (None, "ab\x0bba")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: lattice_lm.F.lit(1) for c in ("rid", "word", "n", "lm", "held_out")})
+
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), (t or "").encode()))
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    count, ends = Counter(w.decode() for d, t in rows if not held(d) for w in words(t)), sum(not held(d) for d, _ in rows)
+
+    def ways(s):
+        """Every segmentation of s, as a list of piece numbers."""
+        if not s:
+            yield []
+        else:
+            for rest in ways(s[1:]):
+                yield [v.byte_of[b] for b in s[0].encode()] + rest
+            for text, p in v.pieces.items():
+                if s.startswith(text):
+                    for rest in ways(s[len(text) :]):
+                        yield [p, *rest]
+
+    cuts = {w: list(ways("▁" + w)) for w in {w.decode() for _, t in rows for w in words(t)}}
+    prob, likes = v.prior, []
+    while len(likes) < 2 or likes[-1] - likes[-2] > lattice_lm.GAIN * abs(likes[-1]):
+        expected, like = np.zeros(len(prob)), ends * math.log(prob[v.end])
+        for w, c in count.items():
+            p = np.array([math.prod(prob[x] for x in cut) for cut in cuts[w]])
+            like += c * math.log(p.sum())
+            for cut, share in zip(cuts[w], c * p / p.sum(), strict=True):
+                for x in cut:
+                    expected[x] += share
+        likes.append(like)
+        expected[v.end] += ends
+        expected += lattice_lm.PIECE_PRIOR
+        prob = expected / expected.sum()
+    score = lambda t: math.log10(prob[v.end]) + sum(math.log10(sum(math.prod(prob[x] for x in cut) for cut in cuts[w.decode()])) for w in words(t))
+    got = sorted(((str(r.doc_id), r.n_tokens, r.n_known), r.score) for r in lattice_lm.score(df, "none").collect())
+    want = sorted(((str(d), len(words(t)) + 1, 1 + sum(w.decode() in count for w in words(t))), score(t)) for d, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def plain_features(t):
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t or ""), [x for x in re.split("\n", t or "") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, b = len(w), [x.encode() for x in w]
+    if not n:
+        return [0.0] * 14
+    letters, per = sum(map(len, b)), lambda s: sum(c in s for c in t)
+    return [
+        math.log(1 + n), letters / n, per("#*$%&|<>") / n, per("!?") / n, per("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / letters, len(set(w)) / n, 1 - len(set(lines)) / len(lines),
+        len({(w[i], w[i + 1]) for i in range(n - 1)}) / max(1, n - 1), sum(w[i] == w[i + 1] for i in range(n - 1)) / n, per("0123456789") / letters, per("|") / n, per(".,;:") / n, math.log(1 + max(map(len, b))), t.count("\n") / n,
+    ]
+
+
+def test_quality_classifier_against_brute_force(spark, sf):
+    """Sample, features and sums of table entries in plain loops; the fit itself is tested on its own."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (3, "x"), (5, "!? " * 100_000)]
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    learned = sorted((d, plain_features(t), known[d]) for d, t in rows[: docs.count()] if d in known)
+    m = gam.fit(np.array([x for _, x, _ in learned]), np.array([float(y) for *_, y in learned]))
+
+    def score(x):
+        raw = m.intercept + sum(float(t[sum(e <= v for e in edges)]) for v, edges, t in zip(x, m.edges, m.tables, strict=True))
+        raw += sum(float(t[sum(e <= x[a] for e in ea)][sum(e <= x[b] for e in eb)]) for a, b, ea, eb, t in m.pairs)
+        return 1 / (1 + math.exp(-max(-30, min(30, raw))))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: gam.F.lit(0) for c in ("score", "label", "x", "held_out")})
+    got = sorted((str(r.doc_id), r.score, r.predicted) for r in gam.classify(df, gam.train(docs.withColumn("label", gam.F.lit(0)), labels)).collect())
+    want = sorted((str(d), s, int(s >= 0.3)) for d, t in rows for s in [score(plain_features(t))])
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
