@@ -481,3 +481,85 @@ def test_quality_classifier_against_brute_force(spark, sf):
     got = sorted((str(r.doc_id), r.score, r.predicted) for r in gam.classify(df, gam.train(docs.withColumn("label", gam.F.lit(0)), labels)).collect())
     want = sorted((str(d), s, int(s >= 0.3)) for d, t in rows for s in [score(plain_features(t))])
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Counts of terms, weights and scores in plain loops: edit distances to every term, quotations and windows as documented."""
+    docs, labels = _toxic_docs()
+    rng = random.Random(9)
+    rows = []
+    for i, text, *_ in docs:
+        w = text.split()
+        if i % 6 == 2 and len(w) > 12:  # even, so that labels show clean documents that quote
+            w[5:7] = ["said", f'"{rng.choice(["vilebag", "grumpot"])}",']
+        if i % 12 == 0:
+            w.append(rng.choice(["grumpott", "vilebug!", "GRUMPOT", "vilebags"]))
+        rows.append((i, " ".join(w)))
+    rows += [(700, None), (None, "grumpot"), (701, ""), (702, "ta " * 30_000 + "grumpot")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: toxicity.F.lit(0) for c in ("label", "toxic", "hits", "term", "around")})
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.train(d, table)
+    learned = [(t or "", dict((x[0], x[2]) for x in labels)[i]) for i, t in rows if i is not None and i in {x[0] for x in labels} and zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def quoted(tokens, i):
+        before, after = tokens[max(0, i - 4) : i + 1], tokens[i : i + 5]
+        return any(x[0] in toxicity.OPENING for x in before) and any(x.rstrip(".,;:!?") and x.rstrip(".,;:!?")[-1] in toxicity.CLOSING for x in after)
+
+    def terms(tokens, i):
+        w = toxicity.normal(tokens[i])
+        return ([w] if len(w) >= 3 else []) + [w[:n] + "*" for n in range(4, 9) if len(w) > n]
+
+    around, clean = {}, Counter()
+    for text, toxic in learned:
+        tokens, first = text.split(), {}
+        norm = [toxicity.normal(x) for x in tokens]
+        for i in range(len(tokens)):
+            if toxic or not quoted(tokens, i):
+                for t in terms(tokens, i):
+                    first.setdefault(t, (norm[i - 1] if i else "", norm[i + 1] if i + 1 < len(tokens) else ""))
+        for t, pair in first.items():
+            if toxic:
+                around.setdefault(t, set()).add(pair)
+            else:
+                clean[t] += 1
+    sample = toxicity.labelled_sample(d, table, "toxic", toxicity.fold_of("doc_id", 4) != 2, 10_000)
+    assert {(r.term, r.n, r.clean) for r in toxicity._counted(sample).collect()} == {(t, len(around.get(t, ())), clean[t]) for t in {*around, *clean}}
+
+    def hits(text):
+        tokens = text.split()
+        found = [(i, slow_look(m.terms, toxicity.normal(x))) for i, x in enumerate(tokens)]
+        loose = lambda t: t.endswith("*") or len(t) < 5
+        return [(i, f[0], ("exact" if not f[1] else "loose" if loose(f[0]) else "misspelt") + ("_quoted" if quoted(tokens, i) else "")) for i, f in found if f]
+
+    look = {}
+    real = slow_look
+    globals()["slow_look"] = lambda ts, w: look[w] if w in look else look.setdefault(w, real(ts, w))
+    try:
+        seen = Counter()
+        for text, toxic in learned:
+            kinds = {h[1:] for h in hits(text)}
+            exact = {k for k in kinds if k[1].startswith("exact")}
+            seen.update((k, toxic) for k in exact or kinds or {("", "none")})
+        share_all = sum(y for _, y in learned) / (len(learned) + 1)
+        none = [seen[("", "none"), 1], seen[("", "none"), 0]]
+        base = (none[0] + 0.05) / (sum(none) + 1)
+
+        def score(text):
+            clean, best, last = 1 - base, 0.0, None
+            for place, term, kind in hits(text):
+                t, f = seen[(term, kind), 1], seen[(term, kind), 0]
+                prior = toxicity.PRIOR[kind]
+                share = (t + prior) / (t + f + 1) if t + f else prior
+                if last is not None and place - last > 8:
+                    clean, best = clean * (1 - best), 0.0
+                best, last = max(best, (share - share_all) / (1 - share_all)), place
+            return 1 - clean * (1 - best)
+
+        got = sorted((str(r.doc_id), r.score, r.predicted) for r in toxicity.classify(d, m).collect())
+        want = sorted((str(i), s, int(s >= 0.3)) for i, t in rows for s in [score(t or "")])
+    finally:
+        globals()["slow_look"] = real
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    by_id = {r[0]: r[1] for r in got}
+    abused, cited = [by_id[str(i)] for i, t in rows if i is not None and i < 600 and i % 6 == 0], [by_id[str(i)] for i, t in rows if i is not None and i < 600 and '"' in (t or "")]
+    assert min(abused) >= 0.3 > max(cited)  # abuse is told from quotation
