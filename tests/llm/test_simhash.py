@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tidewater.llm import simhash
+from tidewater.llm.common import components
 
 
 def slow_fingerprint(text, words=4):
@@ -179,3 +180,24 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:70_000], "other", *words[70_000:]])), (3, "short")]
     got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].fp % 2**64 == slow_fingerprint(rows[0][1]) and (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3)
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [],
+        [(1, 1)],
+        [(2, 1), (1, 2), (1, 2)],
+        [(90, i) for i in range(80)],
+        [(i, i + 1) for i in range(60)],
+        [(i, 100 + i * 7 % 60) for i in range(60)] + [(100 + i, i + 1) for i in range(0, 60, 2)],
+    ],
+)
+def test_components_against_union(spark, edges):
+    """No edges, loops and repeats, a hub that is not the least node, a chain, and chains of both."""
+    part: dict[int, set[int]] = {}
+    for a, b in (e for e in edges if e[0] != e[1]):
+        whole = part.get(a, {a}) | part.get(b, {b})
+        part |= dict.fromkeys(whole, whole)
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((n, min(whole)) for n, whole in part.items())

@@ -80,25 +80,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps. Each step takes a minimum per node (combined before the
     shuffle) and joins it back; the minima are stored first, so that both join sides are plain shuffles
-    which adaptive execution splits at a hub node. No node's neighbours are ever gathered.
+    which adaptive execution splits at a hub node. No node's neighbours are ever gathered. A round begins with the
+    count of smaller neighbours per node, taken along with the minima: if no node has two of them, or one and a larger
+    neighbour as well, each edge leads to its part's least node and nothing is left to do.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None if not e.isEmpty() else (0, None)
-    while state != (0, None):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.max("v").alias("most"))
+        low = stored(low, "low")
+        if low.where("below > 1 or below = 1 and most > u").isEmpty():
+            dropped(low)
+            break
+        large = both.where("v > u").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e1 = stored(large.distinct(), "large")
         low2 = stored(e1.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = e1.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v")
         e2 = stored(small.distinct(), "edges")
-        now = e2.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for old in (e, low, e1, low2):
             dropped(old)
         e = e2
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     out._stored_at = e._stored_at  # so that dropped() can be called on it
