@@ -11,8 +11,6 @@ from __future__ import annotations
 import base64
 import itertools
 import struct
-import sys
-import types
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import of_worker, text_of
 
 #: Entries of a worker's piece cache (its older half goes when full), and of its memory of token pairs (emptied when full).
 PIECES, PAIRS = 300_000, 250_000
@@ -206,14 +204,6 @@ class _Packed(dict):
         return out
 
 
-def _of_worker(key: str, make):
-    """One object for all tasks of a Python worker."""
-    held = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
@@ -221,14 +211,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(path: str, content) -> PrefixBPE:
-    return _of_worker(f"bpe {path}", lambda: PrefixBPE.from_file(content.value))
+    return of_worker(f"bpe {path}", lambda: PrefixBPE.from_file(content.value))
 
 
 def _encoder(path: str, pattern: str, content):
     """Batches (doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = _of_worker(f"packed {path}", lambda: _Packed(_vocabulary(path, content)))
+        packed = of_worker(f"packed {path}", lambda: _Packed(_vocabulary(path, content)))
         cut = regex.compile(pattern)
         get = packed.__getitem__
         for b in _rows(batches):

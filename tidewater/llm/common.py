@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -75,6 +77,19 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def of_worker(key: str, make):
+    """One object for all tasks of a Python worker, until released()."""
+    held = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def released() -> None:
+    """Lets go of what of_worker() keeps: workers are used again, and another operator's tables would stay beside one's own."""
+    sys.modules.pop("_tidewater_worker", None)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 

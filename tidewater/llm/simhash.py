@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, roots_of, stored, text_bytes, unused
+from .common import components, dropped, released, roots_of, stored, text_bytes, unused
 
 #: Rows of one bucket that are compared within one cell: a thousandth of all probes within these bounds. Larger buckets
 #: are cut into blocks of that size.
@@ -356,6 +356,7 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
+        released()
         rest: list[np.ndarray] = []
         for b in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -474,6 +475,7 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
     radius = candidate_radius(similarity)
 
     def points(batches):
+        released()
         for b in batches:
             keys, fps, sizes = [], [], []
             for t in text_bytes(b.column(1)):
