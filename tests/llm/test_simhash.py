@@ -201,3 +201,52 @@ def test_components_against_union(spark, edges):
         part |= dict.fromkeys(whole, whole)
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.node, r.root) for r in found) == sorted((n, min(whole)) for n, whole in part.items())
+
+
+def handed_on(spark, monkeypatch, copies):
+    """Rows of links that the near-dedup stage hands on for so many near copies of one text beside 60 others, and what stays."""
+    rng = np.random.default_rng(5)
+    base = [f"b{x}" for x in rng.integers(0, 9000, 300)]
+    texts = [" ".join(f"o{x}" for x in rng.integers(0, 9000, 200)) for _ in range(60)]
+    for i in range(copies):
+        near = list(base)
+        for x in rng.choice(300, 3, replace=False):
+            near[x] = f"e{i}x{x}"
+        texts.append(" ".join(near))
+    rows, plain = [], simhash.stored
+
+    def spy(df, what):
+        out = plain(df, what)
+        rows.append(out.count() if what == "links" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "stored", spy)
+    left = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    monkeypatch.setattr(simhash, "stored", plain)
+    return sum(rows), sorted(r.doc_id for r in left)
+
+
+def test_near_copies_hand_on_few_links(spark, monkeypatch):
+    """Not a link per copy and partition, and in proportion to the copies."""
+    some, left = handed_on(spark, monkeypatch, 150)
+    more, also = handed_on(spark, monkeypatch, 600)
+    assert left == also == list(range(61))
+    assert some <= 8 * 150 and more <= 8 * 600
+
+
+@pytest.mark.parametrize("block", [8, 100, 65_536])
+def test_crowds_are_those_of_all_pairs(spark, monkeypatch, block):
+    """One bucket after another in many cells, of two blocks or one, small and large, whose rows the first partitions named alike."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_MOST", block)
+    monkeypatch.setattr(simhash, "STRIP", 16)
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 2**64, (12, 2), dtype=np.uint64)[rng.integers(0, 12, 400)]
+    for _ in range(14):
+        fp[np.arange(400), rng.integers(0, 2, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
+    rows = [(*f, i, 100) for i, f in enumerate(np.unique(fp, axis=0).view(np.int64).tolist())]
+    bits = np.array([r[:2] for r in rows], np.int64).view(np.uint64)
+    i, j = np.nonzero(np.triu(simhash.apart(bits[:, None], bits[None]) <= 20, 1))
+    want = joined(len(rows), i.tolist(), j.tolist())
+    found = simhash._crowds(spark.createDataFrame(rows, "fp long, fp2 long, node long, size long"), 20, 2, 0.8).collect()
+    assert {r.node: r.root for r in found} == {x: want[x] for x in np.union1d(i, j).tolist()} and len(found) > 30 and len({r.root for r in found}) > 3

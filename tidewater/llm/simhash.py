@@ -6,7 +6,9 @@ bits agree to within the threshold in at least one partition, so each fingerprin
 pair is verified on all 64 bits. Equal fingerprints are one row from the first aggregate on; a bucket of many
 different fingerprints is cut into blocks whose pairs are compared cell by cell, so neither a copy group nor a
 bucket meets in one task. A cell never holds or hands on its pairs, only which parts of it they join: a star per part,
-and of two blocks, whose own parts other cells hand on, just what joins parts of the one to parts of the other.
+and of two blocks, whose own parts other cells hand on, just what joins parts of the one to parts of the other. The stage
+that keeps one document of each group compares a few partitions first and names what they connect, so that the cells
+of the others do not hand it on again.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ STRIP, COLUMNS = 256, 16_384
 SETS, SET_BYTES = 256, 16 << 20
 #: What a shuffled probe row and a verified pair cost, in seconds; only their ratio matters to the plan.
 ROW_COST, PAIR_COST = 4e-6, 8e-9
+#: Partitions whose equal values are compared before all others, so that their links need not be handed on by each cell.
+FIRST = 4
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -260,15 +264,16 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def parts_of(fp: np.ndarray, home: int, radius: int, side: np.ndarray, size: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(fp: np.ndarray, home: int, radius: int, side: np.ndarray, size: np.ndarray | None = None, similarity: float = 0.0, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(before, after): for each row of a cell the number of the part that pairs within radius join it to; the first `home` rows are compared with all.
 
     side: which of the cell's two blocks a row is of. before: joined by pairs of one block, if there are two (those are
     another cell's to hand on); after: by all. size: of the rows' sets, growing among the home rows and among the others.
     Sets of this Jaccard similarity are at most 1/similarity times as large as one another, so that a strip of home rows
-    need only be compared with a run of rows.
+    need only be compared with a run of rows. known: for each row the first of those that it is known to be linked with.
     """
-    label, joined = np.arange(len(fp)), np.zeros(len(fp), bool)
+    known = np.arange(len(fp)) if known is None else known
+    label, joined = known.copy(), np.zeros(len(fp), bool)
 
     def compare(rows: np.ndarray, columns: np.ndarray) -> None:
         for at in range(0, len(rows), STRIP):
@@ -279,6 +284,8 @@ def parts_of(fp: np.ndarray, home: int, radius: int, side: np.ndarray, size: np.
                 first, last = max(first, int(np.searchsorted(size[columns], low, "left"))), int(np.searchsorted(size[columns], high, "right"))
             for c in range(first, last, COLUMNS):
                 j = columns[c : min(c + COLUMNS, last)]
+                if (label[i] == label[i[0]]).all() and (label[j] == label[i[0]]).all():
+                    continue
                 hit = (apart(fp[i, None], fp[None, j]) <= radius) & (label[i, None] != label[None, j])
                 for x in np.flatnonzero(hit.any(axis=1)).tolist():
                     others = label[j[hit[x]]]
@@ -291,7 +298,7 @@ def parts_of(fp: np.ndarray, home: int, radius: int, side: np.ndarray, size: np.
     if not len(h1) + len(v1):
         compare(h0, h0)
         compare(h0, v0)
-        return at, label
+        return known, label
     for h, v in ((h0, v0), (h1, v1)):
         compare(h, h)
         compare(h, v)
@@ -322,14 +329,23 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
     """(a, b): cell by cell, links that connect what the pairs within radius bits connect of which one at least is at home.
 
     Rows are named by the column `node`, or by the fingerprint if there is none; with a column `size`, sets that cannot
-    have the similarity are not compared.
+    have the similarity are not compared. Rows of one name are known to be linked, and nothing is handed on to say so.
     """
     names = probes.columns
     node, sized = names.index("node" if "node" in names else "fp"), "size" in names
 
-    def small(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, size: np.ndarray | None, each: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def first_of_name(cell: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """For each row the first of its cell with its name."""
+        order = np.lexsort((name, cell))
+        new = np.r_[True, (cell[order][1:] != cell[order][:-1]) | (name[order][1:] != name[order][:-1])]
+        out = np.empty(len(cell), np.int64)
+        out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return out
+
+    def small(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, size: np.ndarray | None, each: np.ndarray, start: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Parts of the small cells, all at once by growing offset."""
-        i_all, j_all = [np.zeros(0, int)], [np.zeros(0, int)]
+        again = np.flatnonzero(known != np.arange(len(cell)))
+        i_all, j_all = [again], [known[again]]
         left = np.repeat(start + each, each) - np.arange(len(cell)) - 1  # rows of the same cell that follow
         idx, k = np.flatnonzero(np.repeat(each <= 64, each) & (left > 0) & home), 1
         while len(idx):
@@ -347,10 +363,11 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
         fp, size = np.stack([x.view(np.uint64) for x in columns[1 : 1 + halves]], axis=1), columns[names.index("size")] if sized else None
         start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         each = np.diff(np.r_[start, len(cell)])
-        before, after = np.arange(len(cell)), small(cell, home, fp, size, each, start)
+        before = first_of_name(cell, columns[node]) if names[node] == "node" else np.arange(len(cell))  # a cell has no fingerprint twice
+        after = small(cell, home, fp, size, each, start, before)
         for s, n in zip(start[each > 64].tolist(), each[each > 64].tolist(), strict=True):
             own = slice(s, s + n)
-            b, a = parts_of(fp[own], int(home[own].sum()), radius, side[own], None if size is None else size[own], similarity)
+            b, a = parts_of(fp[own], int(home[own].sum()), radius, side[own], None if size is None else size[own], similarity, before[own] - s)
             before[own], after[own] = b + s, a + s
         a, b = stars(columns[node], before, after)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -373,6 +390,25 @@ def _verified(probes: DataFrame, radius: int, halves: int, similarity: float = 0
     return probes.repartition(F.shiftright("k", 2)).sortWithinPartitions(F.shiftright("k", 1), *["size"][: int(sized)]).mapInArrow(run, "a long, b long")
 
 
+def _crowds(points: DataFrame, radius: int, halves: int, similarity: float) -> DataFrame:
+    """(node, root) for every node with a pair within radius bits: what such pairs connect, named by its least node.
+
+    Near copies meet in most partitions, where every cell would hand on much the same links again. So the equal values of
+    a few partitions come first. What these connect has one name when all partitions are compared, as they are whatever
+    the first ones find, and only links between different names are handed on.
+    """
+    groups, ts, counts = plan(points, radius, halves)
+    few = sorted(range(len(groups)), key=lambda k: candidates(counts[k], 0))[:FIRST]
+    links = stored(_verified(_probes(points, groups, [0 if k in few else -1 for k in range(len(groups))], counts, halves), radius, halves, similarity), "links")
+    known = components(links)
+    named = points.join(known, "node", "left").withColumn("node", F.coalesce("root", "node")).select(*points.columns)
+    rest = stored(_verified(_probes(named, groups, ts, counts, halves), radius, halves, similarity), "links")
+    out = components(rest.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    for old in (links, known, rest):
+        dropped(old)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, halves: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for every row: documents linked, directly or not, by fingerprints within radius bits.
 
@@ -498,14 +534,13 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, s
     if one.isEmpty():
         return numbered.select(*names)
     fps = one.select("fp", "fp2", F.col("rid").alias("node"), "size")
-    links = stored(_verified(_probes(fps, *plan(fps, radius, 2), 2), radius, 2, similarity), "links")
-    crowds = components(links)
+    crowds = _crowds(fps, radius, 2, similarity)
     sets = stored(text.join(crowds.withColumnRenamed("node", "rid"), "rid").select("root", "rid", "text").mapInArrow(hashes, "root long, rid long, hashes binary"), "sets")
     similar = stored(_similar(sets, similarity), "links")
     groups = components(similar)
     gone = one.select("key", F.col("rid").alias("node")).join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
     gone = stored(texts.select("key", "rid").join(gone, "key").where("rid <> first").select(F.col("rid").alias(rid)), "gone")
-    for old in (texts, one, links, crowds, sets, similar, groups):
+    for old in (texts, one, crowds, sets, similar, groups):
         dropped(old)
     return numbered.join(gone, rid, "left_anti").select(*names)
 
