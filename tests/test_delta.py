@@ -453,6 +453,28 @@ def test_optimize_shuffles_nothing_and_vacuum_deletes_all(spark, path):
     assert sorted(gone.removed) == sorted(report.removed) and not any(t.store.exists(p) for p in gone.removed) and t.read().count() == 60
 
 
+def stages_of(spark, group):
+    """What Spark's books have on the stages of a job group."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    return [sc._jsc.sc().statusStore().lastStageAttempt(i) for j in jobs for i in j.stageIds]
+
+
+def test_optimize_has_a_task_for_each_bin_and_sorts_nothing(spark, path):
+    rows = spark.range(0, 600).selectExpr("id", "nullif(concat('a/b=', id % 3), 'a/b=2') AS k").repartition(4)
+    t = DeltaTable.create(spark, path, rows.schema, ["k"], rows=rows)
+    before = sorted(map(tuple, t.read().collect()), key=str)
+    spark.sparkContext.setJobGroup("bins", "")
+    report = t.optimize()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = stages_of(spark, "bins")
+    assert sum(s.numTasks() for s in stages if s.outputRecords()) == report.added == t.statistics()["numFiles"] == 3
+    assert all(s.peakExecutionMemory() == 0 for s in stages)
+    assert sorted(map(tuple, t.read().collect()), key=str) == before and ids(t.read(where="k = 'a/b=1'")) == sorted(range(1, 600, 3), key=str)
+    assert {a["partitionValues"]["k"] for a in t.snapshot().adds} == {"a/b=0", "a/b=1", None}
+
+
 def test_checkpoints_forget_old_removals_and_are_hinted(spark, path):
     t = DeltaTable.create(spark, path, people(spark).schema, properties={"delta.deletedFileRetentionDuration": "interval 0 days"}, rows=people(spark, (1, "a")))
     t.overwrite(people(spark, (2, "b")))

@@ -8,11 +8,14 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +24,12 @@ from . import dv
 from .errors import DeltaError
 from .log import Snapshot, now_ms
 from .schema import PHYSICAL, physical, plain
-from .store import Store, in_log, on_disk
+from .store import Entry, Store, in_log, on_disk
 
 #: Columns with statistics, letters of a string bound; tuples of partition values up to which each is a scan of its own.
 STATS_COLUMNS, STATS_LETTERS, SCANS = 32, 32, 64
+#: Bins that OPTIMIZE rewrites at a time.
+BINS = 64
 NULL_DIR = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -118,23 +123,54 @@ def stage(spark: SparkSession, store: Store, df: DataFrame, fields: T.StructType
     Executors write; nothing is renamed, so writers do not meet and a failure leaves files that no log names. Statistics
     come from the footers, read by executors.
     """
-    named = {f.name: physical_name(f, mode) for f in fields.fields}
-    types = {f.name: physical(f.dataType, mode) for f in fields.fields}
-    ids = {f.name: f for f in physical(fields, mode).fields}
-    # the cast carries nested names and field ids
-    columns = [F.col(f"`{f.name}`").cast(types[f.name]).alias(named[f.name], metadata=ids_of.metadata) for f, ids_of in zip(fields.fields, [next(p for p in ids.values() if p.name == named[f.name]) for f in fields.fields], strict=True)]
-    out = df.select(*columns, *[F.col(f"`{c}`") for c in extra])
+    out = df.select(*_stored(fields, mode), *[F.col(f"`{c}`") for c in extra])
     folder = folder or f"w-{uuid.uuid4().hex}"
-    by = [named[c] for c in partitions] + list(extra)
+    named = [physical_name(fields[c], mode) for c in partitions]
+    by = named + list(extra)
     writer = out.write.option("compression", "snappy")
     (writer.partitionBy(*by) if by else writer).parquet(store.url(folder))
+    return _added(spark, store, folder, lambda e: _partition_values(e.path, named), change)
+
+
+def restage(spark: SparkSession, store: Store, s: Snapshot, bins: list[list[dict]]) -> list[dict]:
+    """Rewrites each bin, files of the same partition values, as one file; returns add actions.
+
+    A bin is a job of one task, BINS of them at a time: a union of the bins would be one task for all, as Spark joins parts of
+    one partition each into one. The values are known, so that nothing is sorted by them; a task holds what a writer holds.
+    """
+    partitions, mode, folder = {c.lower() for c in s.partition_columns}, mode_of(s), f"w-{uuid.uuid4().hex}"
+    data = T.StructType([f for f in s.schema.fields if f.name.lower() not in partitions])
+    named = store.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+
+    def write(i: int, files: list[dict]) -> None:
+        at = "/".join([folder, str(i), *(named(k, v) for k, v in (files[0].get("partitionValues") or {}).items())])
+        scan(spark, store, s, files).select(*_stored(data, mode)).coalesce(1).write.option("compression", "snappy").parquet(store.url(at))
+
+    with ThreadPoolExecutor(min(BINS, len(bins))) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(partial(write, i, b))) for i, b in enumerate(bins)]
+        try:
+            for j in jobs:
+                j.result()
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+    return _added(spark, store, folder, lambda e: bins[int(e.path.split("/")[1])][0].get("partitionValues") or {}, False)
+
+
+def _stored(fields: T.StructType, mode: str) -> list[Column]:
+    """The logical columns as files have them; the cast carries nested names and field ids."""
+    return [F.col(f"`{f.name}`").cast(p.dataType).alias(p.name, metadata=p.metadata) for f, p in zip(fields.fields, physical(fields, mode).fields, strict=True)]
+
+
+def _added(spark: SparkSession, store: Store, folder: str, values_of: Callable[[Entry], dict], change: bool) -> list[dict]:
+    """Add actions of the files written into a folder; files without rows go."""
     found = [e for e in store.walk(folder) if e.path.endswith(".parquet")]
     stats = _statistics(spark, store, [e.path for e in found])
     modified = now_ms()
     adds = []
     for e in found:
         if stats[e.path]["numRecords"]:
-            adds.append({"path": in_log(e.path), "partitionValues": _partition_values(e.path, [named[c] for c in partitions]), "size": e.size, "modificationTime": modified, "dataChange": change, "stats": statistics_json(stats[e.path])})
+            adds.append({"path": in_log(e.path), "partitionValues": values_of(e), "size": e.size, "modificationTime": modified, "dataChange": change, "stats": statistics_json(stats[e.path])})
         else:
             store.delete(e.path)
     return adds
