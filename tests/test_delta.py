@@ -4,9 +4,11 @@ import os
 import random
 import threading
 import time
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from tidewater.delta import CommitConflict, ConstraintViolation, DeltaError, DeltaTable, SchemaMismatch, UnsupportedProtocol
 from tidewater.delta import dv, files, schema as sch
 from tidewater.delta.log import BLIND, WHOLE, Scope, Snapshot, Transaction, conflict
+from tidewater.delta.table import packed_places
 from tidewater.sources import read, write
 from tidewater.streaming import write_stream
 
@@ -64,6 +67,33 @@ def test_vector_runs_and_damage():
         dv.unblock(dv.block(whole)[:-1] + b"\0", len(whole))
 
 
+def test_vectors_stay_packed_in_memory():
+    """Places merged into a vector, read back and looked up, in far less than the 8 bytes a row that numbers take."""
+    n, found = 2_000_000, dv.Vector()
+    batches = [pa.RecordBatch.from_arrays([pa.array(["f"] * 10_000), pa.array(np.arange(i, i + 10_000))], names=["file", "row"]) for i in range(0, n, 10_000)]
+    tracemalloc.start()
+    for b in packed_places(iter(batches)):
+        for _, key, k, body in zip(*b.columns, strict=True):
+            found.add(key.as_py(), dv.unpacked(body.as_py(), k.as_py()))
+    payload = found.payload()
+    read = dv.vector_of({"storageType": "u", "pathOrInlineDv": dv.z85(b"0" * 16), "sizeInBytes": len(payload), "cardinality": n}, lambda *_: dv.block(payload))
+    assert all(read.has(b.column(1).to_numpy()).all() for b in batches) and not read.has(np.array([n, n + 2**33])).any()
+    assert tracemalloc.get_traced_memory()[1] < 4 * n
+    tracemalloc.stop()
+    assert len(read) == n and read.highest() == n - 1 and dv.Vector().highest() == -1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.integers(0, 9), st.integers(65_530, 65_540), st.integers(0, 2**40))), max_size=8), max_size=4))
+def test_places_in_any_order_are_packed(batches):
+    got = {"a": dv.Vector(), "b": dv.Vector()}
+    for b in packed_places(pa.RecordBatch.from_arrays([pa.array([f for f, _ in x], pa.string()), pa.array([r for _, r in x], pa.int64())], names=["file", "row"]) for x in batches):
+        for file, key, n, body in zip(*b.columns, strict=True):
+            got[file.as_py()].add(key.as_py(), dv.unpacked(body.as_py(), n.as_py()))
+    for file, v in got.items():
+        assert dv.decode(v.payload()).tolist() == sorted({r for x in batches for f, r in x if f == file})
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=40))
 def test_z85(data):
@@ -475,6 +505,17 @@ def test_optimize_has_a_task_for_each_bin_and_sorts_nothing(spark, path):
     assert {a["partitionValues"]["k"] for a in t.snapshot().adds} == {"a/b=0", "a/b=1", None}
 
 
+def test_delete_shuffles_containers(spark, path):
+    t = DeltaTable.create(spark, path, people(spark).schema, properties=DV, rows=spark.range(0, 200_000).selectExpr("id", "'n' AS name").coalesce(2))
+    files_of = t.statistics()["numFiles"]
+    for where, n in (("id % 3 = 0", 66_667), ("id % 3 = 1", 66_667), ("id >= 100000", 33_333)):
+        spark.sparkContext.setJobGroup(where, "")
+        assert t.delete(where) == n
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < sum(s.shuffleWriteRecords() for s in stages_of(spark, where)) <= 4 * files_of
+    assert t.read().selectExpr("count(*)", "sum(id)").collect()[0][:] == (33_333, sum(range(2, 100_000, 3)))
+
+
 def test_checkpoints_forget_old_removals_and_are_hinted(spark, path):
     t = DeltaTable.create(spark, path, people(spark).schema, properties={"delta.deletedFileRetentionDuration": "interval 0 days"}, rows=people(spark, (1, "a")))
     t.overwrite(people(spark, (2, "b")))

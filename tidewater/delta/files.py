@@ -210,16 +210,16 @@ def is_live(spark: SparkSession, store: Store, adds: list[dict]):
     root = arrow_uri(store.root)
     said = spark.sparkContext.broadcast({file_url(store, a): (store.url(on_disk(a["path"])), a["deletionVector"], statistics_of(a).get("numRecords")) for a in adds})
 
-    def vector(file: str) -> np.ndarray:
+    def vector(file: str) -> dv.Vector:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         path, descriptor, n = said.value[file]
         own, base = fs.FileSystem.from_uri(root)
-        gone = dv.rows_of(descriptor, lambda p, at, size: _read_at(own, f"{base}/{p}", at, size))
+        gone = dv.vector_of(descriptor, lambda p, at, size: _read_at(own, f"{base}/{p}", at, size))
         own, at = fs.FileSystem.from_uri(arrow_uri(path))
         have = pq.read_metadata(at, filesystem=own).num_rows
-        if (n is not None and int(n) != have) or (len(gone) and gone[-1] >= have):
+        if (n is not None and int(n) != have) or gone.highest() >= have:
             raise DeltaError(f"{path}: the log and the file disagree on the number of rows")
         return gone
 
@@ -232,8 +232,7 @@ def is_live(spark: SparkSession, store: Store, adds: list[dict]):
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if names[i] != file:
                     file, gone = names[i], vector(names[i])
-                found = np.searchsorted(gone, at[i:j])
-                out[i:j] = (found == len(gone)) | (gone[np.minimum(found, len(gone) - 1)] != at[i:j]) if len(gone) else True
+                out[i:j] = ~gone.has(at[i:j])
             yield pd.Series(out)
 
     return F.pandas_udf(run, "boolean")
